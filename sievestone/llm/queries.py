@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from sievestone.llm import language_id, simhash_dedup
+from sievestone.llm import decontamination, hash_ring, language_id, packing, quality_rules, simhash_dedup
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
+    "op2_packing": packing.op2_packing,
+    "op4_hash_ring": hash_ring.op4_hash_ring,
     "op5_language_id": language_id.op5_language_id,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_simhash_dedup": simhash_dedup.op7_simhash_dedup,
 }
 
