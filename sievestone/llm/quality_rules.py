@@ -142,7 +142,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _power or len(_power[0]) < n:
         size = max(n, 2 * CHUNK)
         base = 0x5851F42D4C957F2D
-        _power[:] = [np.cumprod(np.concatenate([[1], np.full(size - 1, x, np.uint64)]).astype(np.uint64)) for x in (base, pow(base, -1, 1 << 64))]
+        _power[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)])) for x in (base, pow(base, -1, 1 << 64))]
     return _power[0], _power[1]
 
 
