@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievestone.llm import decontamination, hash_ring, language_id, packing, quality_rules, simhash_dedup
+from sievestone.llm import decontamination, hash_ring, language_id, line_dedup, packing, quality_rules, simhash_dedup
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_hash_ring": hash_ring.op4_hash_ring,
     "op5_language_id": language_id.op5_language_id,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op7_simhash_dedup": simhash_dedup.op7_simhash_dedup,
 }
 
