@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievestone.llm import language_id, simhash_dedup
+from sievestone.llm import decontamination, language_id, line_dedup, packing, simhash_dedup
 from sievestone.session import materialize
 
 STAGES = [
     ("language_id", language_id.stage),
+    ("line_dedup", line_dedup.stage),
     ("simhash_dedup", simhash_dedup.stage),
+    ("decontamination", decontamination.stage),
+    ("packing", packing.stage),
 ]
 
+#: The language model and the tokenizer are beyond SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
-from sievestone.llm import decontamination, hash_ring, language_id, line_dedup, packing, quality_rules, simhash_dedup
+from sievestone.llm import (
+    arc_convert,
+    decontamination,
+    hash_ring,
+    html_extraction,
+    language_id,
+    line_dedup,
+    packing,
+    quality_rules,
+    simhash_dedup,
+    token_counts,
+)
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_packing": packing.op2_packing,
+    "op3_arc_convert": arc_convert.op3_arc_convert,
     "op4_hash_ring": hash_ring.op4_hash_ring,
     "op5_language_id": language_id.op5_language_id,
     "op6_quality_rules": quality_rules.op6_quality_rules,
-    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op7_simhash_dedup": simhash_dedup.op7_simhash_dedup,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_token_counts": token_counts.op9_token_counts,
+    "op10_html_extraction": html_extraction.op10_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {}
