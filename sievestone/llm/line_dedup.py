@@ -6,9 +6,10 @@ or at its end. The index holds each line's two segments under its length; a line
 and, as the longer one, of the length below. What shares a segment is a candidate, and only the other segments, the
 rests, still differ.
 
-- Few lines that share a segment: pairs, verified by a banded bit-parallel edit distance of their rests.
-- Many: their rests are split and indexed again under the shared segment, until groups are small or nothing is left to
-  differ, when all members are joined to the first. A hot segment so costs rows in proportion to its lines, not pairs.
+- Rests of more than SHORT letters are split and indexed again under the shared segment.
+- Few short rests: pairs, verified by a banded bit-parallel edit distance.
+- Many short rests: split again, until groups are small or nothing is left to differ, when all members are joined to the
+  first. A hot segment so costs rows in proportion to its lines, not pairs.
 
 Links make classes (connected components). Of a class the first occurrence by doc_id and line number stays.
 Native: SQL functions only, no Python on the executors.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from sievestone.llm.components import components
 from sievestone.session import materialize
 
-MIN_CHARS, THRESHOLD, SMALL = 32, 1, 8
+MIN_CHARS, THRESHOLD, SMALL, SHORT = 32, 1, 8, 16
 SHORTER, LONGER = 0, 1  # roles in a group: what is indexed, and what is one longer
 
 
@@ -35,8 +36,12 @@ def edits_within(a: Column, b: Column, most: int) -> Column:
 
     Bit k of mask e after j letters of b: a's first j + k - most letters become them with e edits or fewer.
     """
-    xs, ys = F.split(a, ""), F.split(b, "")
-    n, m = F.length(a), F.length(b)
+    # a lambda's variable holds the letters: as plain expressions they would be split again at every step
+    letters = F.array(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y"), F.length(a).alias("n"), F.length(b).alias("m")))
+    return F.transform(letters, lambda s: _edits(s["x"], s["y"], s["n"], s["m"], most))[0]
+
+
+def _edits(xs: Column, ys: Column, n: Column, m: Column, most: int) -> Column:
     band = range(2 * most + 1)
 
     def valid(j: Column) -> Column:
@@ -109,24 +114,24 @@ def near_links(distinct: DataFrame) -> DataFrame:
     keys = entries.select("id", "p.role", F.posexplode(F.transform(_halves(F.col("p.r"), F.col("line"), F.col("len"), F.col("p.r")), lambda h: h["key"])).alias("side", "key"))
     live = _alive(keys).select("key", "n", "least")
     shared = keys.join(live, "key")
-    again = sized.select("id", "line", "len")
+    texts = sized.select("id", "line", "len")
     r = F.when(F.col("role") == SHORTER, F.col("len")).otherwise(F.col("len") - 1)
     half = F.get(_halves(r, F.col("line"), F.col("len"), r), F.col("side"))
-    rows = materialize(shared.join(again, "id").select("key", "n", "least", "id", "role", half["rest"].alias("rest"), half["r"].alias("r")), "segments")
+    rows = materialize(shared.join(texts, "id").select("key", "n", "least", "id", "role", half["rest"].alias("rest"), half["r"].alias("r")), "segments")
     edges = None
     while True:
         new = _links(rows)
         edges = new if edges is None else edges.unionByName(new)
-        large = rows.where(f"n > {SMALL} and r >= 1")
-        if large.isEmpty():
+        again = rows.where(f"(n > {SMALL} or r > {SHORT}) and r >= 1")
+        if again.isEmpty():
             return edges
-        split = large.select("id", "role", F.explode(_halves(F.col("key"), F.col("rest"), F.length("rest"), F.col("r"))).alias("h")).select("id", "role", "h.*")
+        split = again.select("id", "role", F.explode(_halves(F.col("key"), F.col("rest"), F.length("rest"), F.col("r"))).alias("h")).select("id", "role", "h.*")
         rows = materialize(split.join(_alive(split).select("key", "n", "least"), "key"), "segments")
 
 
 def _links(rows: DataFrame) -> DataFrame:
-    """Pairs of small groups; stars of large ones in which nothing is left to differ."""
-    small = rows.where(f"n <= {SMALL}")
+    """Pairs of small groups of short rests; stars of large ones in which nothing is left to differ."""
+    small = rows.where(f"n <= {SMALL} and r <= {SHORT}")
     a = small.where(F.col("role") == SHORTER).select("key", F.col("id").alias("u"), F.col("rest").alias("x"))
     b = small.select("key", F.col("id").alias("v"), F.col("rest").alias("y"), "role")
     pairs = a.join(b, "key").where(((F.col("role") == LONGER) | (F.col("u") < F.col("v"))) & (F.col("u") != F.col("v")))
