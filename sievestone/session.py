@@ -34,3 +34,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def arrow_batches(spark: SparkSession, mb: int = 4) -> None:
+    """Bound the bytes of an Arrow batch, where the session leaves them unbounded: rows differ in size a thousandfold."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, "0").rstrip("b") or 0) in (0, 2**31 - 1):
+        spark.conf.set(key, str(mb << 20))
