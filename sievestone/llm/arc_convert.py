@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievestone.session import shared_dir
+from sievestone.session import arrow_batches, shared_dir
 
 MIN_BYTES = 1000
 ARC_BYTES = 4 << 20
@@ -153,6 +153,7 @@ def convert(arcs: DataFrame, payload: bool = True) -> DataFrame:
                         columns[c].append(row[c])
                 yield pa.RecordBatch.from_arrays([pa.array(columns[c], types[c]) for c in names], names)
 
+    arrow_batches(arcs.sparkSession)
     return arcs.select("name", "content").mapInArrow(run, fields)
 
 

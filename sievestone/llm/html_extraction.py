@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievestone.session import arrow_batches
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(script|style|title|textarea|noscript|template|iframe|svg|select|object|math)\b(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*+>|\Z)"
@@ -385,6 +387,7 @@ def extract_pages(pages: DataFrame, model: Model, page: str = "html") -> DataFra
                 n = np.array([len(t) for t in texts], np.int64)
                 yield pa.RecordBatch.from_arrays([*(some.column(c) for c in rest), pa.array(texts, pa.string()), pa.array(n)], [*rest, *added])
 
+    arrow_batches(pages.sparkSession)
     return pages.select(*[F.col(f"`{c}`") for c in [*rest, page]]).mapInArrow(run, schema)
 
 

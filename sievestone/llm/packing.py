@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,40 +31,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievestone.session import materialize
+from sievestone.session import arrow_batches, materialize
 
 WINDOW, BLOCK, LANE_TOKENS, MOST_LANES, END = 1024, 256, 1 << 20, 100_000, 0
-CACHED = 200_000
-#: Runs of white space and of anything else, cut as the tokenizer's own pattern cuts them.
-RUNS = re.compile(r" ?\S+|\s+(?!\S)|\s")
-#: White space for Python, not for the tokenizer.
-ODD = re.compile("[\x1c-\x1f]")
+#: Pieces of text whose ids a worker keeps, some 150 bytes each.
+CACHED = 500_000
+#: The tokenizer's pattern for texts of Latin letters, its classes spelled out.
+LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
+PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
+#: What else a text may hold for that; \x1c-\x1f are white space for Python, not for the tokenizer.
+OTHER = re.compile(r"[^\x00-\x1b\x20-\xff–—‘’“”„…€]")
 _encoders: dict[str, Callable[[str], bytes]] = {}
 
 
 def encoder(name: str = "byte_bpe_50k") -> Callable[[str], bytes]:
-    """text -> its ids as little-endian 32-bit numbers. Runs that occur again are looked up, not encoded again."""
+    """text -> its ids as little-endian 32-bit numbers. Pieces that occur again are looked up, not encoded again."""
     if name not in _encoders:
         import public_tokenizers
         import tiktoken
 
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        single = coder._core_bpe.encode_single_piece
 
-        class Runs(dict):
-            def __missing__(self, run: str) -> bytes:
-                ids = np.array(encode(run), "<u4").tobytes()
-                if len(self) < CACHED and len(run) < 40:
-                    self[run] = ids
-                return ids
+        class Pieces(dict):
+            def __missing__(self, piece: str) -> bytes:
+                found = array("I", single(piece.encode())).tobytes()
+                if len(self) < CACHED and len(piece) < 40:
+                    self[piece] = found
+                return found
 
-        known = Runs()
+        ids = Pieces().__getitem__
 
         def ids_of(text: str) -> bytes:
-            if ODD.search(text):
-                return np.array(encode(text), "<u4").tobytes()
-            return b"".join(map(known.__getitem__, RUNS.findall(text)))
+            if OTHER.search(text):
+                return np.array(coder.encode_ordinary(text), "<u4").tobytes()
+            return b"".join(map(ids, PIECES.findall(text)))
 
         _encoders[name] = ids_of
     return _encoders[name]
@@ -102,6 +106,7 @@ def pieces(docs: DataFrame, keep: list[str], text: str = "text", source: str = "
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     # a null source gets a name that no quoted source has
     queue = F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")), F.lit("null")).alias("queue")
+    arrow_batches(docs.sparkSession)
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64(*[F.col(f"`{c}`") for c in [*keep, text]]).alias("row_key"), queue, F.col(f"`{text}`").alias("_text"))
     return rows.mapInArrow(run, f"{fields}, row_key bigint, queue string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint".lstrip(", "))
 

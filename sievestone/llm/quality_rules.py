@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievestone.llm.text import CHUNK, code_points, mix
+from sievestone.session import arrow_batches
 
 WINDOW = 5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -284,6 +285,7 @@ def score(docs: DataFrame, model: Model | None, p: Params = Params(), text: str
             got = measure(batch.column(text).to_pylist(), model, p)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *(pa.array(got[k]) for k in added)], [*rest, *added])
 
+    arrow_batches(docs.sparkSession)
     return docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*rest, text])]).mapInArrow(run, schema)
 
 

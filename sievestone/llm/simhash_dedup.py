@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievestone.llm.components import components
-from sievestone.session import materialize
+from sievestone.session import arrow_batches, materialize
 
 RADIUS, WIDTH, SEED = 3, 3, 42
 #: Hashes held at once while a long text is read, and links looked at together.
@@ -59,6 +59,7 @@ def with_fingerprints(docs: DataFrame, keep: list[str], text: str = "text", widt
             fps = np.array([fingerprint(t, width) for t in batch.column(text).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fps.view(np.int64))], [*keep, "fp"])
 
+    arrow_batches(docs.sparkSession)
     schema = ", ".join(f"`{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     columns = list(dict.fromkeys([*keep, text]))
     return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, (schema + ", " if keep else "") + "fp bigint")

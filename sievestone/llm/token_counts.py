@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievestone.llm.packing import encoder
+from sievestone.session import arrow_batches
 
 SEPARATOR = "\n\n"
 RULES = ("start", "most")
@@ -99,6 +100,7 @@ def attribute(docs: DataFrame, doc_id: str, fields: list[str], rule: str = "star
                 total = np.repeat(np.array([g[5] for g in got], np.int64), n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(row), names.take(pa.array(columns[0])), *(pa.array(c) for c in columns[1:]), pa.array(total)], schema.names)
 
+    arrow_batches(docs.sparkSession)
     return docs.select(F.col(f"`{doc_id}`").alias("_id"), *[F.col(f"`{f}`").cast("string").alias(f"_f{i}") for i, f in enumerate(fields)]).mapInArrow(run, schema)
 
 
