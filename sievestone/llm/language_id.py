@@ -58,13 +58,20 @@ class Model:
 
 
 def training_rows(docs: DataFrame, p: Params) -> DataFrame:
-    """At most sample_per_lang rows of each language (text, lang), the first by a hash of the text; each task keeps only so many before the shuffle."""
+    """At most sample_per_lang rows of each language (text, lang), the first by a hash of the text."""
     rows = docs.select("text", "lang").where(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= p.sample_chars)
     )
+    # max_langs counts; a share of each language by the hash of the text leaves few rows to be ranked in one task
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(p.max_langs).collect()
+    if not counts:
+        return rows.limit(0)
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(2.0, 2 * p.sample_per_lang / r["n"]))])
     w = Window.partitionBy("lang").orderBy("h", "text")
     return (
-        rows.withColumn("h", F.xxhash64("text"))
+        rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 30)))
+        .where(F.col("h") < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)) * (1 << 30))
+        .dropDuplicates(["lang", "text"])  # copies meet in their own task first
         .withColumn("n", F.row_number().over(w))
         .where(F.col("n") <= p.sample_per_lang)
         .select("text", "lang")

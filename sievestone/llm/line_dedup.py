@@ -171,7 +171,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rows = rows.withColumn("_key", _row_key(doc_id, "_text")).join(gone, "_key", "left")
     parts = F.split("_text", "\n")
     left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone")))
-    rows = rows.withColumn("_left", F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")))
+    chosen = F.transform(F.array(F.struct(parts.alias("p"), left.alias("l"))), lambda s: F.transform(s["l"], lambda i: F.get(s["p"], i)))[0]
+    rows = rows.withColumn("_left", F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(chosen, "\n")))
     rows = rows.where(F.col("_gone").isNull() | (F.trim("_left") != ""))
     out = [F.col("_left").alias(text) if c == text else F.length("_left").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in columns]
     return rows.select(*out)

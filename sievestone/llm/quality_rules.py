@@ -231,11 +231,14 @@ def fit_rows(rows: list[tuple[str, int]], p: Params = Params()) -> Model | None:
 
 def training_rows(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
     """(text, quality) of at most sample_per_class labelled documents of each class, by a hash of the id."""
-    w = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
+    once = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    # two counts at most; a share of each class by the hash of the id leaves few rows to be ranked in one task
+    counts = {r["quality"]: r["n"] for r in once.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    share = F.when(F.col("quality") == 1, F.lit(2 * p.sample_per_class / counts.get(1, 1))).otherwise(F.lit(2 * p.sample_per_class / counts.get(0, 1)))
+    w = Window.partitionBy("quality").orderBy("h", "doc_id")
     picked = (
-        labels.where("doc_id is not null and quality in (0, 1)")
-        .groupBy("doc_id")
-        .agg(F.max("quality").cast("int").alias("quality"))
+        once.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
+        .where(F.col("h") < share * (1 << 30))
         .withColumn("n", F.row_number().over(w))
         .where(F.col("n") <= p.sample_per_class)
         .select("doc_id", "quality")
