@@ -32,7 +32,7 @@ def tokenize_docs(spark: SparkSession, d: str) -> DataFrame:
 
 def stopword_filter(spark: SparkSession, d: str) -> DataFrame:
     kept = without_stop_words(tokens(F.col("text")), STOP)
-    return _docs(spark, d).select("doc_id", F.size(tokens(F.col("text"))).alias("n_words"), F.posexplode(kept).alias("pos", "word"))
+    return _docs(spark, d).select("doc_id", F.posexplode(kept).alias("pos", "word"))
 
 
 def bigram_sets(spark: SparkSession, d: str) -> DataFrame:
@@ -220,8 +220,8 @@ STOP_LIST = ", ".join(f"'{w}'" for w in STOP)
 
 ORACLE_SQL = {
     "tokenize_docs": f"SELECT doc_id, CAST(generate_subscripts(ws, 1) - 1 AS INTEGER) AS pos, unnest(ws) AS word FROM ({DOC_WORDS})",
-    "stopword_filter": f"""SELECT doc_id, CAST(n AS INTEGER) AS n_words, CAST(generate_subscripts(k, 1) - 1 AS INTEGER) AS pos, unnest(k) AS word
-FROM (SELECT doc_id, len(ws) AS n, list_filter(ws, lambda w: w NOT IN ({STOP_LIST})) AS k FROM ({DOC_WORDS}))""",
+    "stopword_filter": f"""SELECT doc_id, CAST(generate_subscripts(k, 1) - 1 AS INTEGER) AS pos, unnest(k) AS word
+FROM (SELECT doc_id, list_filter(ws, lambda w: w NOT IN ({STOP_LIST})) AS k FROM ({DOC_WORDS}))""",
     "bigrams": f"""SELECT DISTINCT doc_id, bigram FROM (SELECT doc_id, word || lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS bigram
 FROM (SELECT doc_id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS word FROM ({DOC_WORDS}))) WHERE bigram IS NOT NULL""",
     "term_freq": f"WITH {TF} SELECT doc_id, word, tf FROM tf",
