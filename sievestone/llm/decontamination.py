@@ -32,45 +32,35 @@ UNITS = (
 NAME = r"\p{Lu}(?<=[\p{L}\p{N},;] \p{Lu})[\p{L}\p{M}]*"
 NUMBER = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"
 UNIT = rf"(?i)(?<=\x{{E001}})([ ]?)({UNITS})(?![\p{{L}}\p{{M}}])"
-# private-use code points mark placeholders; in texts they are blanks
-OPEN, CLOSE, MARKS = "\ue000", "\ue001", "\ue000\ue001\ue002"
+# private-use code points mark placeholders: opening, closing, before the value, for a separator inside a number.
+# in texts they are blanks
+OPEN, CLOSE, VALUE, INNER = "\ue000", "\ue001", "\ue002", "\ue003"
+MARKS = OPEN + CLOSE + VALUE + INNER
+OUTSIDE = r"[^\p{L}\p{M}\p{N}\x{E000}-\x{E003}]+|(?<=\x{E001})|(?=\x{E000})"
 
 
-def marked(text: Column) -> Column:
-    """text with each name, number and unit as: opening mark, its kind, an equals mark, its value, closing mark."""
-    t = F.translate(text, MARKS, "   ")
-    t = F.regexp_replace(t, NAME, f"{OPEN}n$0{CLOSE}")
-    t = F.regexp_replace(t, NUMBER, f"{OPEN}d$0{CLOSE}")
-    return F.regexp_replace(t, UNIT, f" {OPEN}u$2{CLOSE}")
-
-
-def _template(text: Column) -> Column:
-    """The text with placeholders that have lost their values."""
-    t = F.translate(text, MARKS, "   ")
-    t = F.regexp_replace(t, NAME, f"{OPEN}n{CLOSE}")
-    t = F.regexp_replace(t, NUMBER, f"{OPEN}d{CLOSE}")
-    return F.regexp_replace(t, UNIT, f" {OPEN}u{CLOSE}")
+def _placeholders(text: Column, name: str, number: str, unit: str) -> Column:
+    t = F.translate(text, MARKS, " " * len(MARKS))
+    t = F.regexp_replace(t, NAME, name)
+    t = F.regexp_replace(t, NUMBER, number)
+    return F.regexp_replace(t, UNIT, unit)
 
 
 def _split(t: Column) -> Column:
-    # whatever is neither letter nor mark parts words; a digit outside a placeholder can't be left
-    words = F.split(F.lower(t), r"[^\p{L}\p{M}\p{N}\x{E000}-\x{E002}]+|(?<=\x{E001})|(?=\x{E000})")
-    return F.filter(words, lambda w: w != "")
+    """Whatever is neither letter, digit nor mark parts words."""
+    return F.filter(F.split(F.lower(t), OUTSIDE), lambda w: w != "")
 
 
 def words(text: Column) -> Column:
-    """The canonical words of a text."""
-    return _split(_template(F.coalesce(text, F.lit(""))))
+    """The canonical words of a text; a placeholder is its kind alone."""
+    return _split(_placeholders(F.coalesce(text, F.lit("")), f"{OPEN}n{CLOSE}", f"{OPEN}d{CLOSE}", f" {OPEN}u{CLOSE}"))
 
 
 def slot_words(text: Column) -> Column:
-    """The canonical words with the values of placeholders, at the same positions."""
-    t = marked(F.coalesce(text, F.lit("")))
-    # a number with inner marks, such as 1:30, stays one word here as well: its value may hold no separator
-    t = F.regexp_replace(t, r"(?<=\p{Nd})[.,:/](?=\p{Nd}+(?:[.,:/]\p{Nd}+)*\x{E001})", "_")
-    words = F.split(F.lower(t), r"[^\p{L}\p{M}\p{N}_\x{E000}-\x{E002}]+|(?<=\x{E001})|(?=\x{E000})")
-    words = F.transform(words, lambda w: F.when(F.startswith(w, F.lit(OPEN)), w).otherwise(F.translate(w, "_", "")))
-    return F.filter(words, lambda w: w != "")
+    """The canonical words at the same positions, placeholders with their values."""
+    t = _placeholders(F.coalesce(text, F.lit("")), f"{OPEN}n{VALUE}$0{CLOSE}", f"{OPEN}d{VALUE}$0{CLOSE}", f" {OPEN}u{VALUE}$2{CLOSE}")
+    # a number with inner marks, such as 1:30, is one word
+    return _split(F.regexp_replace(t, r"(?<=\p{Nd})[.,:/](?=\p{Nd}+(?:[.,:/]\p{Nd}+)*\x{E001})", INNER))
 
 
 def window_hashes(hashes: Column, width: int) -> Column:
@@ -82,7 +72,10 @@ def window_hashes(hashes: Column, width: int) -> Column:
 
 def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(width, h, item_id, at, n_windows, n_slots) of every window with LITERALS words, or half its words, outside placeholders."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), words(F.col(text)).alias("w")).where(F.size("w") >= LEAST)
+    # an item's first word stands in a sentence when a document quotes it, and may be a name there: both forms are kept
+    inside = words(F.concat(F.lit("x, "), F.col(text)))
+    forms = F.array(words(F.col(text)), F.slice(inside, F.lit(2), F.greatest(F.size(inside) - 1, F.lit(0))))
+    items = benchmark.select(F.col(item_id).alias("item_id"), F.explode(forms).alias("w")).where(F.size("w") >= LEAST)
     items = items.withColumn("width", F.least(F.size("w"), F.lit(WIDTH)))
     n = F.size("w") - F.col("width") + 1
     each = items.select("item_id", "w", "width", n.alias("n_windows"), F.explode(F.sequence(F.lit(0), n - 1)).alias("at"))
@@ -93,6 +86,7 @@ def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str
     return (
         each.select("width", own.alias("h"), "item_id", "at", "n_windows", slots.alias("n_slots"))
         .where(F.col("width") - F.col("n_slots") >= F.least(F.lit(LITERALS), (F.col("width") + 1) / 2))
+        .distinct()
     )
 
 

@@ -80,7 +80,9 @@ def _sum(bits: list[Column]) -> Column:
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, row_key, line_no, line) of every line."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    return rows.select("doc_id", _row_key("doc_id", "text").alias("row_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    # the key is made below the generator: beside it, it would be made again for every line
+    rows = rows.withColumn("row_key", _row_key("doc_id", "text"))
+    return rows.select("doc_id", "row_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def _row_key(doc_id: str, text: str) -> Column:
