@@ -180,3 +180,13 @@ def test_streaming_ingest(spark, tmp_path):
     loaded = index.BM25Index.load(spark, str(tmp_path / "index"))
     assert loaded.stats.first().n_docs == 3
     assert index.bm25_scores(loaded, spark.createDataFrame([(1, "b")], "query_id bigint, text string")).count() == 1
+
+
+def test_segmentation(spark):
+    from sievestone.functions.segment import segment, segmenter
+
+    cut = segmenter(["北京", "天安门", "北京大学"])
+    assert cut("我在北京大学和天安门, ok_1!") == ["我", "在", "北京大学", "和", "天安门", ",", "ok_1", "!"]
+    assert cut(None) == [] and segmenter([])("中文") == ["中", "文"] and segmenter([], keep_marks=False)("a,b") == ["a", "b"]
+    rows = spark.createDataFrame([("北京a",), (None,)], "t string").select(segment(F.col("t"), ["北京"]).alias("w")).collect()
+    assert [r.w for r in rows] == [["北京", "a"], []]
