@@ -147,7 +147,7 @@ def with_zero_scores(scores: DataFrame, queries: DataFrame, docs: DataFrame, que
     few = docs.select("doc_id")
     if limit is not None:
         few = few.orderBy("doc_id").limit(limit)
-    every = few.join(F.broadcast(queries.select(query_id)))
+    every = few.crossJoin(queries.select(query_id))
     full = every.join(scores, [query_id, "doc_id"], "left").select(query_id, "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
     if limit is None:
         return full
@@ -160,6 +160,26 @@ def top_k(scores: DataFrame, k: int, query_id: str = "query_id", doc_id: str = "
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def containing(docs: DataFrame, items: DataFrame, query_id: str = "query_id", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(query, doc) where the document's text holds the item's text, letter for letter.
+
+    An item's words but the first and the last are whole words of such a document; its rarest one finds the candidates by
+    an equi-join, and they are verified. Items without a word inside are held against all documents: a stated query set.
+    """
+    ws = tokens(F.col("_item"))
+    stated = items.select(query_id, F.col(text).alias("_item")).where("_item is not null").withColumn("_inner", F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 2, F.lit(0))))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
+    postings = rows.select("doc_id", F.explode(F.array_distinct(tokens(F.col("_text")))).alias("word"))
+    inner = stated.select(query_id, F.explode(F.array_distinct("_inner")).alias("word"))
+    found = postings.join(inner.select("word").distinct(), "word")
+    df = found.groupBy("word").agg(F.count("*").alias("df"))
+    rarest = inner.join(df, "word", "left").groupBy(query_id).agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("r")).select(query_id, "r.word")
+    candidates = found.join(rarest, "word").select(query_id, "doc_id")
+    long = candidates.join(stated, query_id).join(rows, "doc_id").where(F.contains("_text", "_item"))
+    short = stated.where(F.size("_inner") == 0).select(query_id, "_item").crossJoin(rows).where(F.contains("_text", "_item"))
+    return long.select(query_id, "doc_id").unionByName(short.select(query_id, "doc_id"))
+
+
 def load_or_fit(spark: SparkSession, path: str, docs: Callable[[], DataFrame], params: BM25Params = BM25Params(), force: bool = False) -> BM25Index:
     """The saved index, or a new one that is saved first."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs

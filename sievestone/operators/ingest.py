@@ -85,7 +85,7 @@ def replicate(rows: DataFrame, k: int) -> DataFrame:
 
 def held_out(key: Column, percent: int = 10) -> Column:
     """Whole keys, by a hash: the same on every run."""
-    return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(100)) < percent
+    return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint") % 100 < percent
 
 
 def crawl_stats(extracted: DataFrame) -> DataFrame:

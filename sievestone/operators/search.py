@@ -51,7 +51,7 @@ def search_pages(articles: DataFrame, queries: DataFrame, as_of: Column, k: int
     zeros = fill[0]
     for more in fill[1:]:
         zeros = zeros.unionByName(more)
-    seen = scores.join(about.select("doc_id", "date"), "doc_id").join(F.broadcast(roles), "query_id").where(visible(F.col("date"), F.col("role"), as_of, policy))
+    seen = scores.join(about.select("doc_id", "date"), "doc_id").join(roles, "query_id").where(visible(F.col("date"), F.col("role"), as_of, policy))
     every = seen.select("query_id", "doc_id", "score").unionByName(zeros).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
     best = top_k(every, k)
     return best.join(about, "doc_id").select("query_id", "rank", "doc_id", "score", "url", "title", snippet(F.col("paragraphs")).alias("snippet"), "date")

@@ -159,6 +159,14 @@ def question_classifier(spark: SparkSession, d: str) -> DataFrame:
     return metrics.accuracy(found, "predicted", "label").select(F.round("accuracy", 6).alias("accuracy"))
 
 
+def question_classifier_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The same for labelled quality, C chosen by cross-validation."""
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", "text", F.col("quality").cast("string").alias("label"))
+    test = held_out(F.col("doc_id"), 20)
+    found = qa.classify(rows.where(test), qa.fit_classifier(rows.where(~test), c_grid=(1.0, 100.0), folds=2, features=1 << 10))
+    return metrics.accuracy(found, "predicted", "label").select(F.round("accuracy", 6).alias("accuracy"))
+
+
 def pairwise_ranker(spark: SparkSession, d: str) -> DataFrame:
     rows = _basic(spark, d).select("qid", "sent_no", "rank", F.array(*[F.col(c).cast("double") for c in ("n_answer", "len_diff", "unigram", "bigram")]).alias("features"))
     scored = rows.withColumn("score", qa.rank_score(F.col("features"), qa.fit_ranker(rows)))
@@ -188,6 +196,7 @@ QUERIES = {
     "span_entities": span_entities,
     "grouped_split": grouped_split,
     "question_classifier": question_classifier,
+    "question_classifier_grid": question_classifier_grid,
     "pairwise_ranker": pairwise_ranker,
 }
 
@@ -225,6 +234,14 @@ COLONED = """col AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_ord
 one AS (SELECT o_orderkey, CASE WHEN contains(c, ':') THEN split_part(c, ':', 2) ELSE c END AS c FROM col), trimmed AS (SELECT o_orderkey, CASE WHEN contains(c, '：') THEN split_part(c, '：', 2) ELSE c END AS c FROM one)"""
 TIME_SQL = f"CASE {NAMED} {ANY} ELSE s END"
 ASCII = r"regexp_replace({0}, '[^\x00-\x7F]', '?', 'g')"
+
+
+def _names(words) -> str:
+    return ", ".join(f"'{w}'" for w in sorted(words))
+
+
+TAG_SQL = f"""CASE {' '.join(f"WHEN x = '{w}' THEN '{t}'" for w, t in NAMES.items())} WHEN regexp_matches(x, '^[\\p{{Nd}}\\p{{No}}]') THEN 'm'
+WHEN x IN ({_names(qa.UNIT_WORDS)}) THEN 'q' WHEN regexp_matches(x, '^[\\p{{L}}\\p{{N}}]') THEN 'n' ELSE 'w' END"""
 SCORED = f"{FEAT}, sc AS (SELECT *, round(unigram, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(unigram, 6) DESC, sent_no) AS place FROM feat)"
 
 ORACLE_SQL = {
@@ -241,6 +258,20 @@ y AS (SELECT qid, generate_subscripts(c, 1) AS j, unnest(c) AS ch FROM (SELECT q
 m AS (SELECT qid, i - j AS diagonal, i - row_number() OVER (PARTITION BY qid, i - j ORDER BY i) AS island FROM x JOIN y USING (qid, ch)),
 r AS (SELECT qid, max(n) AS n FROM (SELECT qid, count(*) AS n FROM m GROUP BY qid, diagonal, island) GROUP BY ALL)
 SELECT qa.qid, CAST(coalesce(n, 0) AS INTEGER) AS size FROM qa LEFT JOIN r USING (qid)""",
+    # a row of the table of common lengths for each letter of the question: the greatest of what an equal letter or none gives
+    "lcs_subsequence": f"""WITH RECURSIVE {QA}, x AS (SELECT qid, generate_subscripts(c, 1) AS i, unnest(c) AS ch FROM (SELECT qid, string_split(question, '') AS c FROM qa)),
+y AS (SELECT qid, generate_subscripts(c, 1) AS j, unnest(c) AS ch FROM (SELECT qid, string_split(passage, '') AS c FROM qa)),
+t(qid, i, j, ch, v) AS (SELECT qid, CAST(0 AS BIGINT), CAST(j AS BIGINT), ch, 0 FROM y UNION ALL SELECT s.qid, s.i, s.j, s.ch, max(s.w) OVER (PARTITION BY s.qid ORDER BY s.j) FROM
+(SELECT t.qid, x.i, t.j, t.ch, CASE WHEN x.ch = t.ch THEN 1 + coalesce(lag(t.v) OVER (PARTITION BY t.qid ORDER BY t.j), 0) ELSE t.v END AS w FROM t JOIN x ON x.qid = t.qid AND x.i = t.i + 1) s),
+m AS (SELECT qid, max(v) AS v FROM t GROUP BY ALL) SELECT qa.qid, CAST(coalesce(v, 0) AS INTEGER) AS size FROM qa LEFT JOIN m USING (qid)""",
+    "span_entities": f"""WITH {CAND}, w AS (SELECT qid, sent_no, sentence, {WORDS.format('sentence')} AS ws FROM cand),
+g AS (SELECT *, list_transform(ws, lambda x: {TAG_SQL}) AS tags FROM w),
+e AS (SELECT *, list_reduce(list_transform(list_filter(list_zip(ws, tags), lambda p: p[2] IN ({_names(qa.PERSON_TAGS)})), lambda p: p[1]), lambda acc, v: CASE WHEN contains(acc, v) THEN acc ELSE acc || v END, '') AS hum,
+list_reduce(list_transform(list_filter(list_zip(ws, tags), lambda p: p[2] IN ({_names(qa.PLACE_TAGS)})), lambda p: p[1]), lambda acc, v: CASE WHEN contains(acc, v) THEN acc ELSE acc || v END, '') AS loc,
+list_filter(range(1, len(ws)), lambda i: tags[i] = 'm' AND tags[i + 1] = 'q') AS hits FROM g)
+SELECT qid, sent_no, CASE WHEN hum <> '' THEN hum ELSE sentence END AS hum, CASE WHEN loc <> '' THEN loc ELSE sentence END AS loc,
+CASE WHEN len(hits) > 0 THEN ws[hits[1]] || ws[hits[1] + 1] ELSE sentence END AS num FROM e""",
+    "grouped_split": f"WITH {CAND} SELECT qid, sent_no, CAST('0x' || substr(md5(CAST(qid AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 10 AS validation FROM lab",
     "edit_distance": f"""WITH {CAND}, e AS (SELECT qid, sent_no, CAST(levenshtein({ASCII.format('question')}, {ASCII.format('sentence')}) AS INTEGER) AS distance FROM cand)
 SELECT *, CASE WHEN distance <= 2 THEN distance ELSE -1 END AS within_two FROM e""",
     "char_prf1": f"WITH {_overlap_sql(False)}, {PRF} SELECT qid, CAST(round(precision, 6) AS DOUBLE) AS precision, CAST(round(recall, 6) AS DOUBLE) AS recall, CAST(round(f1, 6) AS DOUBLE) AS f1 FROM prf",

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievestone.config import STOP_WORDS
-from sievestone.functions.text import bigrams, snippet, tokens, without_stop_words
+from sievestone.functions.text import bigrams, sentences, snippet, tokens, without_stop_words
 from sievestone.functions.vectors import MEASURES
 from sievestone.operators import index as ix
-from sievestone.operators import ingest, search
+from sievestone.operators import ingest, qa, search
 from sievestone.operators.metrics import accuracy
-from sievestone.session import table
+from sievestone.session import shared_dir, table
+from sievestone.sources import files
 
 STOP = sorted({w for words in STOP_WORDS.values() for w in words})
 AS_OF = "2024-01-31"
@@ -77,12 +80,10 @@ def _vsm(measure: str):
 def retrieval_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """Share of items whose best document is one of those that hold the item's text; items that no document holds don't count."""
     docs, items = _docs(spark, d), _items(spark, d)
-    best = _vsm("dot")(spark, d)
-    chosen = best.join(docs.select("doc_id", F.col("text").alias("doc_text")), "doc_id", "left").join(items, "query_id")
-    got = chosen.select("query_id", F.coalesce(F.contains("doc_text", "text"), F.lit(False)).alias("hit"))
-    # the queries are a stated set, held against all rows
-    gold = docs.select("text").join(F.broadcast(items.withColumnRenamed("text", "item")), F.contains("text", "item")).select("query_id").distinct()
-    rows = got.join(gold, "query_id").select("hit", F.lit(True).alias("gold"))
+    gold = ix.containing(docs, items).withColumn("gold", F.lit(True))
+    asked = gold.select("query_id").distinct()
+    best = _vsm("dot")(spark, d).join(asked, "query_id")
+    rows = best.join(gold, ["query_id", "doc_id"], "left").select(F.coalesce("gold", F.lit(False)).alias("hit"), F.lit(True).alias("gold"))
     return rows.agg(F.count("*").alias("n")).join(F.broadcast(accuracy(rows, "hit", "gold"))).select("n", F.round("accuracy", 6).alias("accuracy"))
 
 
@@ -137,6 +138,61 @@ def snippets(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", snippet(F.col("text")).alias("snippet"))
 
 
+def marked_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Letters' case and punctuation kept, as a segmenter would."""
+    return _docs(spark, d).select("doc_id", F.posexplode(tokens(F.col("text"), lowercase=False, keep_punct=True)).alias("pos", "word"))
+
+
+def containing(spark: SparkSession, d: str) -> DataFrame:
+    return ix.containing(_docs(spark, d), _items(spark, d))
+
+
+def segmented_articles(spark: SparkSession, d: str) -> DataFrame:
+    a = _articles(spark, d)
+    name = F.explode("segmented_file_name").alias("file_name", "words")
+    return a.select("doc_id", F.array_join("segmented_title", " ").alias("title"), F.size("segmented_paragraphs").alias("n_words"), name).select(
+        "doc_id", "title", "n_words", "file_name", F.array_join("words", " ").alias("file_words")
+    )
+
+
+def result_cards(spark: SparkSession, d: str) -> DataFrame:
+    """What a result page shows, for administrators."""
+    found = search.search_pages(_articles(spark, d), _items(spark, d).withColumn("role", F.lit("Administrator")), F.lit(AS_OF).cast("date"))
+    return found.select("query_id", "rank", "url", "title", "snippet", F.date_format("date", "yyyy-MM-dd").alias("date"))
+
+
+def index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The index is saved, loaded and asked."""
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    return ix.top_k(ix.bm25_scores(ix.load_or_fit(spark, path, lambda: _docs(spark, d)), _items(spark, d)), 10)
+
+
+def json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    docs, path = _docs(spark, d), f"{shared_dir(spark)}/json-{uuid.uuid4().hex}"
+    files.write_json(docs, path)
+    return files.read_json_lines(spark, path, docs.schema)
+
+
+def labelled_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Labels and questions as tab-separated lines, read twofold."""
+    path = f"{shared_dir(spark)}/labelled-{uuid.uuid4().hex}"
+    rows = _docs(spark, d).select(F.concat_ws("\t", F.upper("lang"), F.concat(F.lit("who wrote "), F.col("source"), F.lit(" "), F.col("doc_id").cast("string"))).alias("value"))
+    rows.write.text(path)
+    return files.read_labelled_questions(spark, path, 2)
+
+
+def qa_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Retrieval, candidate sentences, ranking and the answer's span, for every benchmark text as a question."""
+    items = _items(spark, d)
+    best = _vsm("cos")(spark, d).where("doc_id >= 0").select("query_id", "doc_id")
+    passages = best.join(items.withColumnRenamed("text", "question"), "query_id").join(_docs(spark, d).select("doc_id", F.col("text").alias("passage")), "doc_id")
+    rows = passages.select(F.col("query_id").alias("qid"), "doc_id", "question", F.posexplode(sentences(F.col("passage"))).alias("sent_no", "sentence"))
+    share = qa.basic_features(tokens(F.col("question")), tokens(F.col("sentence")))["unigram"]
+    top = qa.top_sentences(rows.withColumn("score", F.round(share, 6)), 1)
+    none = F.array().cast("array<struct<word:string,tag:string>>")
+    return top.select("qid", "doc_id", "sent_no", "score", qa.answer_span(F.lit("DES_OTHER"), F.col("sentence"), none).alias("answer"))
+
+
 def corpus_dedup(spark: SparkSession, d: str) -> DataFrame:
     return ingest.last_by_key(_docs(spark, d).select("source", "lang", "doc_id", "n_chars"), ["source", "lang"], "doc_id")
 
@@ -176,6 +232,14 @@ QUERIES = {
     "corpus_dedup": corpus_dedup,
     "replicate_rows": replicate_rows,
     "dense_similarity": dense_similarity,
+    "marked_tokens": marked_tokens,
+    "containing": containing,
+    "segmented_articles": segmented_articles,
+    "result_cards": result_cards,
+    "index_roundtrip": index_roundtrip,
+    "json_roundtrip": json_roundtrip,
+    "labelled_roundtrip": labelled_roundtrip,
+    "qa_pipeline": qa_pipeline,
 }
 
 # --- DuckDB ----------------------------------------------------------------------------------------------------------------
@@ -216,6 +280,8 @@ DOC_WORDS = f"SELECT doc_id, {WORDS.format('text')} AS ws FROM documents"
 ITEM_QUERIES = "SELECT item_id AS query_id, text FROM benchmark"
 ARTICLE = f"""art AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN DATE '0001-01-01' ELSE DATE '2021-01-01' + CAST((doc_id * 37) % 1200 AS INTEGER) END AS date,
 {WORDS.format("concat_ws(' ', lang, source)")} AS tw, {WORDS.format('text')} AS bw, source, lang FROM documents)"""
+TOP_TEN = f"""WITH {_bm25(DOC_WORDS, ITEM_QUERIES)} SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+FROM sc QUALIFY rank <= 10"""
 STOP_LIST = ", ".join(f"'{w}'" for w in STOP)
 
 ORACLE_SQL = {
@@ -238,8 +304,8 @@ SELECT count(*) AS n, round(avg(CAST(coalesce(contains(d.text, b.text), false) A
 FROM best JOIN gold USING (query_id) LEFT JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id""",
     "bm25_fit": f"WITH {TF}, {N} SELECT word, round(ln(n_docs / df), 6) AS idf FROM df, n",
     "bm25_doc_len": f"WITH {N} SELECT doc_id, len(ws) AS doc_len, round(len(ws) / avg_len, 6) AS relative_len FROM ({DOC_WORDS}), n",
-    "bm25_topk": f"""WITH {_bm25(DOC_WORDS, ITEM_QUERIES)} SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
-FROM sc QUALIFY rank <= 10""",
+    "bm25_topk": TOP_TEN,
+    "index_roundtrip": TOP_TEN,
     "bm25_all_docs": f"""WITH {_bm25(DOC_WORDS, ITEM_QUERIES)} SELECT item_id AS query_id, d.doc_id, coalesce(score, 0) AS score
 FROM benchmark CROSS JOIN documents d LEFT JOIN sc ON sc.query_id = item_id AND sc.doc_id = d.doc_id""",
     "role_search": f"""WITH {ARTICLE}, {_bm25("SELECT doc_id, tw || bw AS ws FROM art", ITEM_QUERIES)},
@@ -260,4 +326,25 @@ WHEN c_custkey % 5 = 0 THEN 'VerifiedUser' WHEN c_custkey % 7 = 0 THEN 'Administ
     "dense_similarity": """WITH j AS (SELECT a.vec_id, CAST(a.embedding AS DOUBLE[]) AS x, CAST(b.embedding AS DOUBLE[]) AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
 s AS (SELECT vec_id, list_inner_product(x, y) AS d, list_inner_product(x, x) AS a, list_inner_product(y, y) AS b FROM j)
 SELECT vec_id, round(d, 5) AS dot, round(CASE WHEN a * b > 0 THEN d / (sqrt(a) * sqrt(b)) ELSE 0 END, 5) AS cos, round(CASE WHEN a + b - d <> 0 THEN d / (a + b - d) ELSE 0 END, 5) AS jac FROM s""",
+    "marked_tokens": r"""SELECT doc_id, CAST(generate_subscripts(ws, 1) - 1 AS INTEGER) AS pos, unnest(ws) AS word
+FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS ws FROM documents)""",
+    "containing": "SELECT item_id AS query_id, doc_id FROM documents d, benchmark b WHERE contains(d.text, b.text)",
+    "segmented_articles": f"""WITH {ARTICLE}, f AS (SELECT doc_id, tw, len(bw) AS n, unnest(list_distinct(['report ' || source || '.pdf', lang || ' notes.doc'])) AS file_name FROM art)
+SELECT doc_id, array_to_string(tw, ' ') AS title, CAST(n AS INTEGER) AS n_words, file_name, array_to_string({WORDS.format('file_name')}, ' ') AS file_words FROM f""",
+    "result_cards": f"""WITH {ARTICLE}, {_bm25("SELECT doc_id, tw || bw AS ws FROM art", ITEM_QUERIES)},
+top AS (SELECT item_id AS query_id, art.*, CAST(row_number() OVER (PARTITION BY item_id ORDER BY coalesce(score, 0) DESC, art.doc_id) AS INTEGER) AS rank
+FROM benchmark CROSS JOIN art LEFT JOIN sc ON sc.query_id = item_id AND sc.doc_id = art.doc_id QUALIFY rank <= 10)
+SELECT query_id, rank, CASE WHEN doc_id % 11 = 0 THEN 'http://news.example.com/' || doc_id ELSE 'http://news.example.com/article/' || strftime(top.date, '%Y/%m/%d') || '/' || doc_id END AS url,
+top.lang || ' ' || top.source AS title, CASE WHEN length(text) > 33 THEN substring(text, 1, 30) || '......' ELSE text END AS snippet,
+CASE WHEN doc_id % 11 = 0 THEN '0001-01-01' ELSE strftime(top.date, '%Y-%m-%d') END AS date FROM top JOIN documents USING (doc_id)""",
+    "json_roundtrip": "SELECT * FROM documents",
+    "labelled_roundtrip": "SELECT upper(lang) AS label, 'who wrote ' || source || ' ' || doc_id AS question FROM documents, range(2)",
+    "qa_pipeline": f"""WITH b AS ({_vsm_sql(COS)}), p AS (SELECT query_id AS qid, doc_id, {WORDS.format('i.text')} AS q,
+list_filter(list_transform(regexp_split_to_array(coalesce(d.text, ''), '[\\n.]'), lambda s: trim(s)), lambda s: s <> '') AS ss
+FROM b JOIN documents d USING (doc_id) JOIN benchmark i ON i.item_id = query_id),
+c AS (SELECT qid, doc_id, q, CAST(generate_subscripts(ss, 1) - 1 AS INTEGER) AS sent_no, unnest(ss) AS s FROM p),
+f AS (SELECT *, CAST(round(CASE WHEN len(a) > 0 THEN len(list_filter(q, lambda w: list_contains(a, w))) / len(a) ELSE 0 END, 6) AS DOUBLE) AS score FROM (SELECT *, {WORDS.format('s')} AS a FROM c)),
+t AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, sent_no) = 1),
+o AS (SELECT *, CASE WHEN contains(s, ':') THEN split_part(s, ':', 2) ELSE s END AS s1 FROM t)
+SELECT qid, doc_id, sent_no, score, CASE WHEN contains(s1, '：') THEN split_part(s1, '：', 2) ELSE s1 END AS answer FROM o""",
 }
