@@ -43,7 +43,7 @@ class Params:
     batch: int = 64
     seed: int = 7
     rejected_share: float = 0.001
-    sure: float = 0.5
+    sure: float = 0.35
 
 
 @dataclass

@@ -175,8 +175,11 @@ def _margins(chunk: Chunk, model: Model, p: Params) -> np.ndarray:
     return z
 
 
-def fit_rows(rows: list[tuple[str, int]], p: Params = Params()) -> Model | None:
-    """Train on (text, label) rows; every fifth calibrates. Adaptive steps for each weight."""
+def fit_rows(rows: list[tuple[str, int]], p: Params = Params(), totals: dict[int, int] | None = None) -> Model | None:
+    """Train on (text, label) rows; every fifth calibrates. Adaptive steps for each weight.
+
+    totals: labelled rows of each class in all, if the sample's shares differ from theirs; probabilities follow these.
+    """
     rows = sorted(set(rows))
     rng = np.random.default_rng(p.seed)
     rng.shuffle(rows)
@@ -215,11 +218,14 @@ def fit_rows(rows: list[tuple[str, int]], p: Params = Params()) -> Model | None:
     # Platt: targets drawn in from 0 and 1, Newton's method
     pos, neg = gold.sum(), len(gold) - gold.sum()
     target = np.where(gold == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a = np.array([1.0, 0.0])
+    a, count = np.array([1.0, 0.0]), np.ones(len(gold))
+    if totals and pos and neg:
+        share = totals[1] / (totals[0] + totals[1])
+        count = np.where(gold == 1, share * len(gold) / pos, (1 - share) * len(gold) / neg)
     for _ in range(50):
         s = 1 / (1 + np.exp(-np.clip(a[0] * z + a[1], -30, 30)))
-        grad = np.array([((s - target) * z).sum(), (s - target).sum()])
-        v = s * (1 - s) + 1e-9
+        grad = np.array([(count * (s - target) * z).sum(), (count * (s - target)).sum()])
+        v = count * s * (1 - s) + 1e-9
         hess = np.array([[(v * z * z).sum(), (v * z).sum()], [(v * z).sum(), v.sum()]]) + 1e-6 * np.eye(2)
         move = np.linalg.solve(hess, grad)
         a -= np.clip(move, -2, 2)
@@ -229,11 +235,20 @@ def fit_rows(rows: list[tuple[str, int]], p: Params = Params()) -> Model | None:
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
+def labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality), each document once."""
+    return labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+
+
+def class_counts(labels: DataFrame) -> dict[int, int]:
+    """Two counts at most."""
+    return {r["quality"]: r["n"] for r in labelled(labels).groupBy("quality").agg(F.count("*").alias("n")).collect()}
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, counts: dict[int, int], p: Params = Params()) -> DataFrame:
     """(text, quality) of at most sample_per_class labelled documents of each class, by a hash of the id."""
-    once = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    # two counts at most; a share of each class by the hash of the id leaves few rows to be ranked in one task
-    counts = {r["quality"]: r["n"] for r in once.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    once = labelled(labels)
+    # a share of each class by the hash of the id leaves few rows to be ranked in one task
     share = F.when(F.col("quality") == 1, F.lit(2 * p.sample_per_class / counts.get(1, 1))).otherwise(F.lit(2 * p.sample_per_class / counts.get(0, 1)))
     w = Window.partitionBy("quality").orderBy("h", "doc_id")
     picked = (
@@ -255,7 +270,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> D
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model | None:
-    return fit_rows([(r.text, r.quality) for r in training_rows(docs, labels, p).collect()], p)
+    counts = class_counts(labels)
+    return fit_rows([(r.text, r.quality) for r in training_rows(docs, labels, counts, p).collect()], p, counts)
 
 
 def measure(texts: list[str | None], model: Model | None, p: Params = Params()) -> dict[str, np.ndarray]:

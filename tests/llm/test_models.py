@@ -91,7 +91,7 @@ def test_quality_held_out(spark, docs):
     assert abs(prob.mean() - y.mean()) < 0.1  # calibrated
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, 0), (3, None)], "doc_id bigint, quality int")
     table = spark.createDataFrame([(1, "x"), (2, "y"), (2, "y"), (3, "z")], "doc_id bigint, text string")
-    assert sorted((r.text, r.quality) for r in Q.training_rows(table, labels).collect()) == [("x", 1), ("y", 0)]
+    assert sorted((r.text, r.quality) for r in Q.training_rows(table, labels, Q.class_counts(labels)).collect()) == [("x", 1), ("y", 0)]
     assert Q.fit(table.limit(0), labels.limit(0)) is None
     assert Q.score(table.withColumn("kept", F.lit("clash")), None).where("kept = false").count() == 4
 
