@@ -118,16 +118,23 @@ class BM25Index:
         return cls(*[spark.read.parquet(f"{path}/{name}") for name in cls.TABLES], params)
 
 
-def bm25_fit(docs: DataFrame, params: BM25Params = BM25Params(), doc_id: str = "doc_id", text: str = "text", words: str | None = None) -> BM25Index:
-    """words: a column of token arrays to use instead of the text. idf = ln(N / df), never negative."""
+def postings_and_lengths(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, word, tf) and (doc_id, doc_len). words: a column of token arrays to use instead of the text."""
     got = docs.select(F.col(doc_id).alias("doc_id"), (F.col(words) if words else tokens(F.col(text))).alias("ws"))
-    postings = term_frequency(got.select("doc_id", F.explode("ws").alias("word")))
-    doc_len = got.select("doc_id", F.size("ws").cast("bigint").alias("doc_len"))
+    return term_frequency(got.select("doc_id", F.explode("ws").alias("word"))), got.select("doc_id", F.size("ws").cast("bigint").alias("doc_len"))
+
+
+def index_of(postings: DataFrame, doc_len: DataFrame, params: BM25Params = BM25Params()) -> BM25Index:
+    """Adds the statistics. idf = ln(N / df), never negative."""
     stats = doc_len.agg(F.count("*").alias("n_docs"), F.sum("doc_len").alias("n_tokens"), F.avg("doc_len").alias("avg_len"))
     idf = _with_stats(document_frequency(postings), stats).select("word", F.ln(F.col("n_docs") / F.col("df")).alias("idf"))
     return BM25Index(postings, idf, doc_len, stats, params)
 
 
+def bm25_fit(docs: DataFrame, params: BM25Params = BM25Params(), doc_id: str = "doc_id", text: str = "text", words: str | None = None) -> BM25Index:
+    return index_of(*postings_and_lengths(docs, doc_id, text, words), params)
+
+
 def bm25_scores(index: BM25Index, queries: DataFrame, query_id: str = "query_id", text: str = "text") -> DataFrame:
     """(query, doc_id, score) of documents that share a word with the query."""
     p = index.params

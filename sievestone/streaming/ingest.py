@@ -1,4 +1,4 @@
-"""Continuous ingest: pages arrive as files, are extracted once by URL, and the BM25 index is refreshed by micro-batch.
+"""Continuous ingest: pages arrive as files, are extracted once by URL, and the BM25 index grows by micro-batch.
 
 An extension: the batch operators are the same; only arrival and de-duplication are streaming.
 """
@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from sievestone.config import BM25Params, CrawlRules
-from sievestone.operators.index import bm25_fit
+from sievestone.operators.index import BM25Index, index_of, postings_and_lengths
 from sievestone.operators.ingest import extract_pages
 
 PAGE = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType()), T.StructField("seen", T.TimestampType())])
@@ -28,13 +28,23 @@ def new_articles(pages: DataFrame, rules: CrawlRules = CrawlRules(), late: str =
     return extract_pages(once, rules, keep=("page_id", "seen"))
 
 
-def append_and_index(articles: DataFrame, store: str, index: str, checkpoint: str, params: BM25Params = BM25Params()) -> StreamingQuery:
-    """Each micro-batch goes to its own folder of the store, so a repeated batch replaces itself; then the index is fitted anew."""
+def append_and_index(articles: DataFrame, store: str, index: str, checkpoint: str) -> StreamingQuery:
+    """Each micro-batch adds its articles, postings and lengths in folders of its own, so a repeated batch replaces itself
+    and work grows with the batch, not with the index."""
 
     def step(batch: DataFrame, number: int) -> None:
-        batch.select("page_id", "url", "title", "paragraphs").write.mode("overwrite").parquet(f"{store}/batch={number}")
-        rows = batch.sparkSession.read.option("basePath", store).parquet(store)
-        text = F.concat_ws(" ", "title", "paragraphs")
-        bm25_fit(rows.where(F.trim(F.coalesce("title", F.lit(""))) != "").select(F.col("page_id").alias("doc_id"), text.alias("text")), params).save(index)
+        rows = batch.select("page_id", "url", "title", "paragraphs")
+        rows.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        saved = batch.sparkSession.read.schema(rows.schema).parquet(f"{store}/batch={number}")
+        titled = saved.where(F.trim(F.coalesce("title", F.lit(""))) != "")
+        tables = postings_and_lengths(titled.select(F.col("page_id").alias("doc_id"), F.concat_ws(" ", "title", "paragraphs").alias("text")))
+        for name, table in zip(("postings", "doc_len"), tables, strict=True):
+            table.write.mode("overwrite").parquet(f"{index}/{name}/batch={number}")
 
     return articles.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def load_grown(spark: SparkSession, index: str, params: BM25Params = BM25Params()) -> BM25Index:
+    """The index over all micro-batches so far; statistics are those of all documents."""
+    postings, doc_len = (spark.read.option("basePath", f"{index}/{name}").parquet(f"{index}/{name}").drop("batch") for name in ("postings", "doc_len"))
+    return index_of(postings, doc_len, params)

@@ -175,11 +175,25 @@ def test_streaming_ingest(spark, tmp_path):
     page = "<h3>{0}</h3><p>{0} words here</p>"
     rows = [(i, f"http://h/{i % 3}", page.format("abc"[i % 3]), "2024-01-01 00:00:00") for i in range(6)]
     spark.createDataFrame(rows, "page_id bigint, url string, html string, seen string").withColumn("seen", F.col("seen").cast("timestamp")).write.parquet(str(tmp_path / "in"))
-    articles = stream.new_articles(stream.read_pages(spark, str(tmp_path / "in")))
-    stream.append_and_index(articles, str(tmp_path / "store"), str(tmp_path / "index"), str(tmp_path / "cp")).awaitTermination(120)
-    loaded = index.BM25Index.load(spark, str(tmp_path / "index"))
-    assert loaded.stats.first().n_docs == 3
-    assert index.bm25_scores(loaded, spark.createDataFrame([(1, "b")], "query_id bigint, text string")).count() == 1
+    def arrived():
+        articles = stream.new_articles(stream.read_pages(spark, str(tmp_path / "in")))
+        stream.append_and_index(articles, str(tmp_path / "store"), str(tmp_path / "index"), str(tmp_path / "cp")).awaitTermination(120)
+        return stream.load_grown(spark, str(tmp_path / "index"))
+
+    query = spark.createDataFrame([(1, "b d")], "query_id bigint, text string")
+    loaded = arrived()
+    assert loaded.stats.first().n_docs == 3 and index.bm25_scores(loaded, query).count() == 1
+    more = [(9, "http://h/9", page.format("d"), "2024-01-01 01:00:00"), (10, "http://h/1", page.format("b"), "2024-01-01 01:00:00")]
+    spark.createDataFrame(more, "page_id bigint, url string, html string, seen string").withColumn("seen", F.col("seen").cast("timestamp")).write.mode("append").parquet(str(tmp_path / "in"))
+    grown = arrived()
+    assert grown.stats.first().n_docs == 4 and index.bm25_scores(grown, query).count() == 2
+
+
+def test_containing(spark):
+    docs = spark.createDataFrame([(1, "the cat sat on the mat today"), (2, "a cat sat on the mat"), (3, None), (4, "cat sat"), (5, "The cat sat on the mat")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, "cat sat on the mat"), (8, "at sa"), (9, None), (10, "he cat sat on the ma"), (11, "no such words in here")], "query_id bigint, text string")
+    got = {(r.query_id, r.doc_id) for r in index.containing(docs, items).collect()}
+    assert got == {(q.query_id, d.doc_id) for q in items.collect() for d in docs.collect() if q.text is not None and d.text is not None and q.text in d.text}
 
 
 def test_segmentation(spark):
