@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, names (capitalised words inside a sentence) and units become typed placeholders; what is left of a text is a
+Numbers, names (capitalised words inside a sentence, but not words in capitals throughout) and units become typed placeholders; what is left of a text is a
 row of lower-case words. Windows of WIDTH words are hashed and joined with the windows of the benchmark. Windows of a
 document and an item on one diagonal (equal distance of positions) are a match when they cover RUN words or the whole
 item. Where a match holds placeholders, their values must map one to one from the item to the document: `2 kg ... 2`
@@ -29,7 +29,7 @@ UNITS = (
     "seconds?|secs?|minutes?|mins?|hours?|hrs?|days?|weeks?|months?|years?|percent|dollars?|cents?|euros?|usd|eur|"
     "kph|mph|watts?|kw|volts?|degrees?|meters?|metres?|kilometers?|kilometres?|liters?|litres?|grams?|kilograms?"
 )
-NAME = r"\p{Lu}(?<=[\p{L}\p{N},;] \p{Lu})[\p{L}\p{M}]*"
+NAME = r"\p{Lu}(?<=[\p{L}\p{N},;] \p{Lu})(?=[\p{L}\p{M}]*\p{Ll})[\p{L}\p{M}]*"
 NUMBER = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"
 UNIT = rf"(?i)(?<=\x{{E001}})([ ]?)({UNITS})(?![\p{{L}}\p{{M}}])"
 # private-use code points mark placeholders: opening, closing, before the value, for a separator inside a number.
@@ -47,8 +47,8 @@ def _placeholders(text: Column, name: str, number: str, unit: str) -> Column:
 
 
 def _split(t: Column) -> Column:
-    """Whatever is neither letter, digit nor mark parts words."""
-    return F.filter(F.split(F.lower(t), OUTSIDE), lambda w: w != "")
+    """Whatever is neither letter, digit nor mark parts words. A sharp s is two letters, as it is in capitals."""
+    return F.filter(F.split(F.replace(F.lower(t), F.lit("ß"), F.lit("ss")), OUTSIDE), lambda w: w != "")
 
 
 def words(text: Column) -> Column:
@@ -72,9 +72,10 @@ def window_hashes(hashes: Column, width: int) -> Column:
 
 def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(width, h, item_id, at, n_windows, n_slots) of every window with LITERALS words, or half its words, outside placeholders."""
-    # an item's first word stands in a sentence when a document quotes it, and may be a name there: both forms are kept
+    # an item's first word stands in a sentence when a document quotes it, and may be a name there; a document in capitals
+    # or small letters has no names: all forms are kept
     inside = words(F.concat(F.lit("x, "), F.col(text)))
-    forms = F.array(words(F.col(text)), F.slice(inside, F.lit(2), F.greatest(F.size(inside) - 1, F.lit(0))))
+    forms = F.array(words(F.col(text)), F.slice(inside, F.lit(2), F.greatest(F.size(inside) - 1, F.lit(0))), words(F.lower(F.col(text))))
     items = benchmark.select(F.col(item_id).alias("item_id"), F.explode(forms).alias("w")).where(F.size("w") >= LEAST)
     items = items.withColumn("width", F.least(F.size("w"), F.lit(WIDTH)))
     n = F.size("w") - F.col("width") + 1

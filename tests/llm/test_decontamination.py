@@ -43,6 +43,11 @@ def test_first_word_after_a_comma(spark):
     assert set(got) == {(1, 1)}
 
 
+def test_capitals_and_small_letters(spark):
+    docs = [(i, f"SOME MORE OF IT!! {t.upper()}!! AND THE REST", "x") for i, t in ((1, ITEM), (2, BENCH[5][1]))] + [(3, f"and so on {BENCH[5][1].lower()} and so on", "x")]
+    assert set(found(spark, docs)) == {(1, 1), (2, 6), (3, 6)}
+
+
 def test_repeats_and_empty_tables(spark):
     docs = [(1, ITEM, "x"), (1, ITEM, "x"), (2, "\n".join([ITEM] * 3), "x")]
     got = found(spark, docs)
