@@ -14,8 +14,9 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievestone.functions.segment import segment
 from sievestone.functions.strings import common_subsequence, common_substring
-from sievestone.functions.text import bigrams, sentences, tokens
+from sievestone.functions.text import bigrams, sentences, tokens, without_stop_words
 from sievestone.functions.vectors import cosine, inner_product, tanimoto
 
 # --- candidates ------------------------------------------------------------------------------------------------------------
@@ -69,6 +70,11 @@ def tag_words(words: Column, names: dict[str, str]) -> Column:
     return _tagger(names)(words)
 
 
+def cut_and_tag(text: Column, words: Iterable[str], names: dict[str, str], stop: Iterable[str] = ()) -> Column:
+    """Words of a text by a dictionary, without stop words, tagged."""
+    return tag_words(without_stop_words(segment(text, words), stop), names)
+
+
 def basic_features(q: Column, a: Column) -> dict[str, Column]:
     """Overlap and length features of two token arrays. Ratios stay ratios."""
     # a lambda's variable holds the arrays: as plain expressions they would be made again for every word

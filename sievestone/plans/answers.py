@@ -11,6 +11,8 @@ from sievestone.operators import metrics, qa
 from sievestone.operators.ingest import held_out
 from sievestone.session import table
 
+DICTIONARY = ("订单", "星期三", "送达", "没有", "日期", "大约", "前后", "之间")
+CHINESE_NAMES = {"订单": "nz", "星期三": "t"}
 NAMES = {"the": "nr", "of": "ns", "and": "nt", "that": "f"}
 
 
@@ -119,6 +121,11 @@ def _dated(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", kind.alias("kind"), s.alias("sentence"))
 
 
+def tagged_words(spark: SparkSession, d: str) -> DataFrame:
+    tagged = qa.cut_and_tag(F.col("sentence"), DICTIONARY, CHINESE_NAMES, ("于", "从"))
+    return _dated(spark, d).select("o_orderkey", F.posexplode(tagged).alias("pos", "t")).select("o_orderkey", "pos", "t.word", "t.tag")
+
+
 def span_time(spark: SparkSession, d: str) -> DataFrame:
     return _dated(spark, d).select("o_orderkey", qa.time_span(F.col("kind"), F.col("sentence")).alias("answer"))
 
@@ -190,6 +197,7 @@ QUERIES = {
     "exact_match": exact_match,
     "selector_accuracy": selector_accuracy,
     "top_sentences": top_sentences,
+    "tagged_words": tagged_words,
     "span_time": span_time,
     "span_colon": span_colon,
     "span_dispatch": span_dispatch,
@@ -240,8 +248,12 @@ def _names(words) -> str:
     return ", ".join(f"'{w}'" for w in sorted(words))
 
 
-TAG_SQL = f"""CASE {' '.join(f"WHEN x = '{w}' THEN '{t}'" for w, t in NAMES.items())} WHEN regexp_matches(x, '^[\\p{{Nd}}\\p{{No}}]') THEN 'm'
+def _tag_sql(names: dict[str, str]) -> str:
+    """The tag of a word x."""
+    return f"""CASE {' '.join(f"WHEN x = '{w}' THEN '{t}'" for w, t in names.items())} WHEN regexp_matches(x, '^[\\p{{Nd}}\\p{{No}}]') THEN 'm'
 WHEN x IN ({_names(qa.UNIT_WORDS)}) THEN 'q' WHEN regexp_matches(x, '^[\\p{{L}}\\p{{N}}]') THEN 'n' ELSE 'w' END"""
+
+
 SCORED = f"{FEAT}, sc AS (SELECT *, round(unigram, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(unigram, 6) DESC, sent_no) AS place FROM feat)"
 
 ORACLE_SQL = {
@@ -265,7 +277,7 @@ t(qid, i, j, ch, v) AS (SELECT qid, CAST(0 AS BIGINT), CAST(j AS BIGINT), ch, 0
 (SELECT t.qid, x.i, t.j, t.ch, CASE WHEN x.ch = t.ch THEN 1 + coalesce(lag(t.v) OVER (PARTITION BY t.qid ORDER BY t.j), 0) ELSE t.v END AS w FROM t JOIN x ON x.qid = t.qid AND x.i = t.i + 1) s),
 m AS (SELECT qid, max(v) AS v FROM t GROUP BY ALL) SELECT qa.qid, CAST(coalesce(v, 0) AS INTEGER) AS size FROM qa LEFT JOIN m USING (qid)""",
     "span_entities": f"""WITH {CAND}, w AS (SELECT qid, sent_no, sentence, {WORDS.format('sentence')} AS ws FROM cand),
-g AS (SELECT *, list_transform(ws, lambda x: {TAG_SQL}) AS tags FROM w),
+g AS (SELECT *, list_transform(ws, lambda x: {_tag_sql(NAMES)}) AS tags FROM w),
 e AS (SELECT *, list_reduce(list_transform(list_filter(list_zip(ws, tags), lambda p: p[2] IN ({_names(qa.PERSON_TAGS)})), lambda p: p[1]), lambda acc, v: CASE WHEN contains(acc, v) THEN acc ELSE acc || v END, '') AS hum,
 list_reduce(list_transform(list_filter(list_zip(ws, tags), lambda p: p[2] IN ({_names(qa.PLACE_TAGS)})), lambda p: p[1]), lambda acc, v: CASE WHEN contains(acc, v) THEN acc ELSE acc || v END, '') AS loc,
 list_filter(range(1, len(ws)), lambda i: tags[i] = 'm' AND tags[i + 1] = 'q') AS hits FROM g)
@@ -282,6 +294,8 @@ SELECT *, CASE WHEN distance <= 2 THEN distance ELSE -1 END AS within_two FROM e
     "selector_accuracy": f"""WITH {SCORED}, g AS (SELECT qid, max(rank) AS gold FROM feat GROUP BY ALL HAVING max(rank) > 0)
 SELECT round(avg(CAST(rank = gold AS INTEGER)), 6) AS accuracy FROM sc JOIN g USING (qid) WHERE place = 1""",
     "top_sentences": f"WITH {SCORED} SELECT qid, CAST(place AS INTEGER) AS place, sent_no, CAST(score AS DOUBLE) AS score FROM sc WHERE place <= 3",
+    "tagged_words": f"""WITH {DATED}, w AS (SELECT o_orderkey, list_filter(regexp_extract_all(s, '{'|'.join(sorted(DICTIONARY, key=len, reverse=True))}|[0-9A-Za-z_]+|[^\\s]'), lambda x: x NOT IN ('于', '从')) AS ws FROM dated),
+e AS (SELECT o_orderkey, CAST(generate_subscripts(ws, 1) - 1 AS INTEGER) AS pos, unnest(ws) AS x FROM w) SELECT o_orderkey, pos, x AS word, {_tag_sql(CHINESE_NAMES)} AS tag FROM e""",
     "span_time": f"WITH {DATED} SELECT o_orderkey, {TIME_SQL} AS answer FROM dated",
     "span_colon": f"WITH {COLONED} SELECT o_orderkey, c AS answer FROM trimmed",
     "span_dispatch": f"WITH {DATED}, {COLONED} SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN c ELSE {TIME_SQL} END AS answer FROM dated JOIN trimmed USING (o_orderkey)",
