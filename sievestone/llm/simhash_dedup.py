@@ -211,9 +211,8 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the row with the smallest doc_id stays; of rows that share it, the first by all columns."""
-    columns = docs.columns
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_simhash_key")
     found = near_duplicates(docs, ["doc_id"])
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key)
-    # rows of one id may be repeated, or differ: one stays
-    return docs.select("*", key).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_simhash_row"), key).join(kept, "_simhash_key", "left_semi")
+    return rows.groupBy("_simhash_key").agg(F.min("_simhash_row").alias("_simhash_row")).select("_simhash_row.*")
