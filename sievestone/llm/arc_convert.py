@@ -334,5 +334,5 @@ def op3_arc_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = read.where("type = 'response'").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"))
     named = revisits.join(targets, "refers_id").select("record_id", "refers_to")
     return read.join(named, "record_id", "left").select(
-        "page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.when(F.col("type") == "revisit", F.col("refers_to")).alias("refers_to"), F.col("record_id")
+        "page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.when(F.col("type") == "revisit", F.col("refers_to")).alias("refers_to")
     )

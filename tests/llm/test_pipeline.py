@@ -2,12 +2,15 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 import test_line_dedup
 import test_simhash_dedup
+from conftest import SMALL
+from oracle import compare
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from sievestone.llm import language_id, packing
+from sievestone.llm import language_id, packing, queries
 
 
 def test_stages():
@@ -16,14 +19,14 @@ def test_stages():
 
 
 def test_every_operator_is_registered():
-    queries = entry.queries()
-    assert "pipeline" in queries
+    found = entry.queries()
+    assert "pipeline" in found
     for n in range(1, 11):
-        assert sum(q.startswith(f"op{n}_") for q in queries) == 1
+        assert sum(q.startswith(f"op{n}_") for q in found) == 1
 
 
 def test_run_keeps_the_columns_and_the_ids(spark):
-    sf = "/root/testdata/sf0.001"
+    sf = SMALL
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept, columns = docs, docs.columns
     for _, stage in corpus_pipeline.STAGES[:-1]:
@@ -61,7 +64,7 @@ def leaks(docs, items):
 
 
 def test_run_equals_brute_force(spark):
-    sf = "/root/testdata/sf0.001"
+    sf = SMALL
     table = spark.read.parquet(f"{sf}/documents.parquet")
     docs = [(r.doc_id, r.text) for r in table.orderBy("doc_id").collect()]
     source = {r.doc_id: r.source for r in table.collect()}
@@ -80,3 +83,8 @@ def test_run_equals_brute_force(spark):
         assert set(g.source) == {source[d]}
     x = got.sort_values(["sequence_id", "offset"])
     assert ((x.offset + x.length).groupby(x.sequence_id).shift(fill_value=0) == x.offset).all() and sorted(set(x.sequence_id)) == list(range(x.sequence_id.nunique()))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_sql(spark, name):
+    assert compare(spark, queries.QUERIES[name], queries.ORACLE_SQL[name], SMALL) == ""
