@@ -153,6 +153,17 @@ def test_files_round_trip(spark, tmp_path):
         files.read_json_lines(spark, str(tmp_path / "bad.jsonl"), files.PASSAGE).collect()
 
 
+def test_segmenter_reply(spark):
+    rows = spark.createDataFrame([('[{"t": "a", "p": 0.5}, {"t": "b", "p": 1}]',), ("[]",), (None,)], "reply string")
+    assert [r.w for r in rows.select(files.segments_to_words("reply").alias("w")).collect()] == [["a", "b"], [], None]
+
+
+def test_cut_and_tag(spark):
+    rows = spark.createDataFrame([("在北京走3公里",), ("",), (None,)], "t string")
+    got = rows.select(qa.cut_and_tag(F.col("t"), ["北京", "公里"], {"北京": "ns"}, ["在"]).alias("w")).collect()
+    assert [[tuple(x) for x in r.w] for r in got] == [[("北京", "ns"), ("走", "n"), ("3", "m"), ("公里", "q")], [], []]
+
+
 def test_last_duplicate_wins_and_replication(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, None)], "t string, n int, v string")
     assert sorted((r.t, r.v) for r in ingest.last_by_key(rows, ["t"], "n").collect()) == [("a", "y"), ("b", None)]
