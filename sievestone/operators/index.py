@@ -148,17 +148,10 @@ def bm25_scores(index: BM25Index, queries: DataFrame, query_id: str = "query_id"
     return _with_stats(hits, index.stats).groupBy(query_id, "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def with_zero_scores(scores: DataFrame, queries: DataFrame, docs: DataFrame, query_id: str = "query_id", limit: int | None = None) -> DataFrame:
-    """Every document for every query, 0 where nothing matched. With a limit, only documents that can be among the first
-    `limit` by (score, doc_id): the stated queries are held against the `limit` smallest ids, not against all rows."""
-    few = docs.select("doc_id")
-    if limit is not None:
-        few = few.orderBy("doc_id").limit(limit)
-    every = few.crossJoin(queries.select(query_id))
-    full = every.join(scores, [query_id, "doc_id"], "left").select(query_id, "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
-    if limit is None:
-        return full
-    return full.unionByName(scores.select(query_id, "doc_id", "score")).distinct()
+def with_zero_scores(scores: DataFrame, queries: DataFrame, docs: DataFrame, query_id: str = "query_id") -> DataFrame:
+    """Every document for every query, 0 where nothing matched: the stated queries against all rows."""
+    every = docs.select("doc_id").crossJoin(queries.select(query_id))
+    return every.join(scores, [query_id, "doc_id"], "left").select(query_id, "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, query_id: str = "query_id", doc_id: str = "doc_id") -> DataFrame:

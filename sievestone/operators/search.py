@@ -5,13 +5,13 @@ Statistics span every document; the role's filter comes before the ranking, so a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievestone.config import BM25Params, RolePolicy
 from sievestone.functions.text import snippet
 from sievestone.functions.web import url_date
-from sievestone.operators.index import bm25_fit, bm25_scores, top_k, with_zero_scores
+from sievestone.operators.index import bm25_fit, bm25_scores, top_k
 
 
 def resolve_role(user: Column, role: Column, policy: RolePolicy = RolePolicy()) -> Column:
@@ -43,14 +43,10 @@ def search_pages(articles: DataFrame, queries: DataFrame, as_of: Column, k: int
     scores = bm25_scores(bm25_fit(indexed, params, words="ws"), queries)
     about = indexed.select("doc_id", "url", "title", "paragraphs", "date")
     roles = queries.select("query_id", "role")
-    # for each role, the k smallest ids it sees are enough to fill up with zeros
-    fill = [
-        with_zero_scores(scores.limit(0), queries.where(F.col("role") == role), indexed.where(visible(F.col("date"), F.lit(role), as_of, policy)), limit=k)
-        for role in policy.months
-    ]
-    zeros = fill[0]
-    for more in fill[1:]:
-        zeros = zeros.unionByName(more)
+    # for each role, the k smallest ids it sees are enough to fill up with zeros; a task keeps k of each before the shuffle
+    each = indexed.select("doc_id", "date", F.explode(F.array(*[F.lit(r) for r in policy.months])).alias("role")).where(visible(F.col("date"), F.col("role"), as_of, policy))
+    few = each.withColumn("place", F.row_number().over(Window.partitionBy("role").orderBy("doc_id"))).where(F.col("place") <= k)
+    zeros = few.join(roles, "role").select("query_id", "doc_id", F.lit(0.0).alias("score"))
     seen = scores.join(about.select("doc_id", "date"), "doc_id").join(roles, "query_id").where(visible(F.col("date"), F.col("role"), as_of, policy))
     every = seen.select("query_id", "doc_id", "score").unionByName(zeros).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
     best = top_k(every, k)

@@ -46,8 +46,18 @@ def test_top_k_breaks_ties_and_fills(spark):
     docs = spark.range(5).select(F.col("id").alias("doc_id"))
     queries = spark.createDataFrame([(1,)], "query_id bigint")
     scores = spark.createDataFrame([(1, 3, 2.0), (1, 1, 2.0)], "query_id bigint, doc_id bigint, score double")
-    full = index.with_zero_scores(scores, queries, docs, limit=3).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
-    assert [(r.doc_id, r.rank) for r in index.top_k(full, 4).orderBy("rank").collect()] == [(1, 1), (3, 2), (0, 3), (2, 4)]
+    full = index.with_zero_scores(scores, queries, docs)
+    assert full.count() == 5 and [(r.doc_id, r.rank) for r in index.top_k(full, 4).orderBy("rank").collect()] == [(1, 1), (3, 2), (0, 3), (2, 4)]
+
+
+def test_search_fills_with_what_the_role_sees(spark):
+    url = "http://h/article/{}/x"
+    rows = [(i, url.format(day), f"t{i}", "a b" if i == 3 else "c") for i, day in enumerate(["2024/03/20", "2023/09/01", "none", "2024/03/21", "2022/01/01", "2024/03/25"])]
+    articles = ingest.segment_articles(spark.createDataFrame([(*r, []) for r in rows], "doc_id bigint, url string, title string, paragraphs string, file_name array<string>"))
+    queries = spark.createDataFrame([(1, "b", "Guest"), (2, "b", "SignedUser"), (3, "b", "Administrator"), (4, "", "VerifiedUser"), (5, "b", "nobody")], "query_id bigint, text string, role string")
+    got = search.search_pages(articles, queries, F.lit("2024-03-31").cast("date"), k=3).orderBy("query_id", "rank").collect()
+    want = {1: [3, 0, 5], 2: [3, 0, 1], 3: [3, 0, 1], 4: [0, 1, 3]}
+    assert {q: [r.doc_id for r in got if r.query_id == q] for q in {r.query_id for r in got}} == want
 
 
 def test_index_round_trip(spark, tmp_path):
