@@ -1,15 +1,16 @@
 """Line dedup by a segment-partition edit join, for lines that differ in at most one edit.
 
-Lines of MIN_CHARS code points and more take part; equal ones collapse by a 64-bit hash first. With threshold 1 a line is
+Lines of MIN_CHARS code points and more take part; equal ones count as one by a 64-bit hash. With threshold 1 a line is
 split into two segments: of two lines within one edit, one segment of the shorter occurs in the longer, at its start
 or at its end. The index holds each line's two segments under its length; a line probes the index of its own length
 and, as the longer one, of the length below. What shares a segment is a candidate, and only the other segments, the
 rests, still differ.
 
-- Rests of more than SHORT letters are split and indexed again under the shared segment.
-- Few short rests: pairs, verified by a banded bit-parallel edit distance.
-- Many short rests: split again, until groups are small or nothing is left to differ, when all members are joined to the
-  first. A hot segment so costs rows in proportion to its lines, not pairs.
+- First keys alone are counted; lines are read again for the segments that two of them share.
+- Groups of few rests: pairs, cut down to what differs and verified by a banded bit-parallel edit distance.
+- Groups of many rests are cut into blocks, at most BLOCKS of them, and indexed again by all but one block, until groups
+  are small or blocks short. Of many short rests each is indexed by all but one letter, and those that agree are joined
+  to the first of them. A hot segment so costs rows in proportion to its lines, not pairs.
 
 Links make classes (connected components). Of a class the first occurrence by doc_id and line number stays.
 Native: SQL functions only, no Python on the executors.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from sievestone.llm.components import components
 from sievestone.session import materialize
 
-MIN_CHARS, THRESHOLD, SMALL, SHORT = 32, 1, 8, 16
+MIN_CHARS, THRESHOLD, SMALL, SHORT, BLOCKS = 32, 1, 8, 16, 64
 SHORTER, LONGER = 0, 1  # roles in a group: what is indexed, and what is one longer
 
 
@@ -89,73 +90,132 @@ def _row_key(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
-def _halves(key: Column, x: Column, n: Column, r: Column) -> Column:
-    """The two entries of a row whose rest is x, n long, r long in the index: (key, rest, r)."""
-    head = F.when(r == 1, 1).otherwise(F.floor(r / 2).cast("int"))
-    tail = F.when(r == 1, 1).otherwise(r - F.floor(r / 2).cast("int"))
-    first = F.struct(F.xxhash64(key, F.lit(0), F.substring(x, F.lit(1), head)).alias("key"), F.substring(x, head + 1, n).alias("rest"), (r - head).alias("r"))
-    last = F.struct(F.xxhash64(key, F.lit(1), F.substring(x, n - tail + 1, tail)).alias("key"), F.substring(x, F.lit(1), n - tail).alias("rest"), (r - tail).alias("r"))
-    return F.array(first, last)
+def _segment(x: Column, n: Column, r: Column, side: int) -> tuple[Column, Column, Column]:
+    """(shared, rest, r of the rest): the first or the last half of a line of n letters, r of them in the index."""
+    head = F.floor(r / 2).cast("int")
+    tail = r - head
+    if side == 0:
+        return F.substring(x, F.lit(1), head), F.substring(x, head + 1, n), tail
+    return F.substring(x, n - tail + 1, tail), F.substring(x, F.lit(1), n - tail), head
 
 
-def _alive(rows: DataFrame) -> DataFrame:
-    """Sizes of the keys under which a pair may stand."""
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("role") == SHORTER).alias("n_index"), F.min(F.when(F.col("role") == SHORTER, F.col("id"))).alias("least"))
-    return sizes.where("n >= 2 and n_index >= 1")
+def _blocks(key: Column, x: Column, r: Column) -> Column:
+    """The entries (key, rest, r) of a rest x in the index of all but one of its blocks."""
+    n = F.length(x)
+    size = F.greatest(F.lit(SHORT), F.ceil(r / BLOCKS).cast("int"))
 
+    def entry(j: Column) -> Column:
+        before = j * size
+        within = F.least(size, r - before)
+        after = r - before - within
+        own = F.xxhash64(key, j, F.substring(x, F.lit(1), before), F.substring(x, n - after + 1, after))
+        return F.struct(own.alias("key"), F.substring(x, before + 1, n - before - after).alias("rest"), within.alias("r"))
 
-def near_links(distinct: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect lines within one edit. distinct: (id, line) with unique ids."""
-    sized = distinct.withColumn("len", F.length("line"))
-    roles = F.array(
-        F.struct(F.lit(SHORTER).alias("role"), F.col("len").alias("r")),
-        F.struct(F.lit(LONGER).alias("role"), (F.col("len") - 1).alias("r")),
-    )
-    entries = sized.select("id", "line", "len", F.explode(roles).alias("p")).where(f"p.r >= {MIN_CHARS}")
-    # only hashes are shuffled at first; texts follow for what shares a segment
-    keys = entries.select("id", "p.role", F.posexplode(F.transform(_halves(F.col("p.r"), F.col("line"), F.col("len"), F.col("p.r")), lambda h: h["key"])).alias("side", "key"))
-    live = _alive(keys).select("key", "n", "least")
-    shared = keys.join(live, "key")
-    texts = sized.select("id", "line", "len")
-    r = F.when(F.col("role") == SHORTER, F.col("len")).otherwise(F.col("len") - 1)
-    half = F.get(_halves(r, F.col("line"), F.col("len"), r), F.col("side"))
-    rows = materialize(shared.join(texts, "id").select("key", "n", "least", "id", "role", half["rest"].alias("rest"), half["r"].alias("r")), "segments")
+    return F.transform(F.sequence(F.lit(0), F.ceil(r / size).cast("int") - 1), entry)
+
+
+def _letters(key: Column, x: Column, role: Column) -> Column:
+    """The keys of a short rest x without one letter. What differs in that letter alone has the same place; what is one letter
+    longer meets the whole of the shorter one, at place 0."""
+    n = F.length(x)
+    at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    without = F.transform(at, lambda i: F.xxhash64(key, F.when(role == SHORTER, i).otherwise(0), F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, n))))
+    whole = F.when(role == SHORTER, F.array(F.xxhash64(key, F.lit(0), x)))
+    return F.array_distinct(F.concat(without, F.coalesce(whole, F.array().cast("array<bigint>"))))
+
+
+def _differing(x: Column, y: Column) -> Column:
+    """(x, y) without the halves that they share, until x is short; x is as long as y or one letter shorter."""
+
+    def step(s: Column, _: Column) -> Column:
+        a, b = s["x"], s["y"]
+        head = F.floor(F.length(a) / 2).cast("int")
+        tail = F.length(a) - head
+        return (
+            F.when(F.length(a) <= SHORT, s)
+            .when(F.substring(a, F.lit(1), head) == F.substring(b, F.lit(1), head), F.struct(F.substring(a, head + 1, tail).alias("x"), F.substring(b, head + 1, tail + 1).alias("y")))
+            .when(F.right(a, tail) == F.right(b, tail), F.struct(F.substring(a, F.lit(1), head).alias("x"), F.substring(b, F.lit(1), F.length(b) - tail).alias("y")))
+            .otherwise(F.struct(F.lit("").alias("x"), F.lit("-" * (THRESHOLD + 1)).alias("y")))  # two edits at least
+        )
+
+    halvings = F.sequence(F.lit(1), F.length(F.bin(F.length(x))))
+    return F.aggregate(halvings, F.struct(x.alias("x"), y.alias("y")), step)
+
+
+def _alive(rows: DataFrame) -> DataFrame:
+    """Sizes of the keys under which a pair may stand. rows: distinct (id, role, key)."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("role") == SHORTER).alias("n_index"))
+    return sizes.where("n >= 2 and n_index >= 1").select("key", "n")
+
+
+def near_links(lines: DataFrame) -> DataFrame:
+    """Edges (u, v) that connect lines within one edit. lines: (id, line), equal lines under one id, any number of times."""
+    sized = lines.withColumn("len", F.length("line"))
+    n = F.col("len")
+    entries = [
+        F.struct(F.lit(role).alias("role"), F.lit(side).alias("side"), F.xxhash64(n - role, F.lit(side), _segment(F.col("line"), n, n - role, side)[0]).alias("key"))
+        for role in (SHORTER, LONGER)
+        for side in (0, 1)
+    ]
+    keys = sized.select("id", "len", F.explode(F.array(*entries)).alias("e")).where(f"e.role = {SHORTER} or len > {MIN_CHARS}").select("id", "e.*")
+    # a key is one row for each task, then one; few keys stand under two lines
+    ends = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("role").alias("role"))
+    live = materialize(ends.where(f"a < b and role = {SHORTER}").select("key"), "live-keys")
+    shared = materialize(keys.join(live, "key").distinct(), "shared")
+    # texts only of lines that share a segment; by a merge, as their ids grow with the input
+    texts = sized.join(shared.select("id").distinct().hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
+    cut = shared.join(_alive(shared), "key").join(texts.withColumn("len", F.length("line")), "id")
+    r = n - F.col("role")
+    first, last = (_segment(F.col("line"), n, r, side) for side in (0, 1))
+    rest, left = (F.when(F.col("side") == 0, first[k]).otherwise(last[k]) for k in (1, 2))
+    rows = materialize(cut.select("key", "n", "id", "role", rest.alias("rest"), left.alias("r")), "segments")
     edges = None
     while True:
-        new = _links(rows)
+        more, many = (F.coalesce(F.max((F.col("n") > SMALL) & c), F.lit(False)) for c in (F.col("r") > SHORT, F.col("r") <= SHORT))
+        state = rows.agg(more.alias("more"), many.alias("many")).first()
+        new = _pairs(rows.where(f"n <= {SMALL}"))
+        if state.many:
+            new = new.unionByName(_stars(rows.where(f"n > {SMALL} and r <= {SHORT}")))
         edges = new if edges is None else edges.unionByName(new)
-        again = rows.where(f"(n > {SMALL} or r > {SHORT}) and r >= 1")
-        if again.isEmpty():
+        if not state.more:
             return edges
-        split = again.select("id", "role", F.explode(_halves(F.col("key"), F.col("rest"), F.length("rest"), F.col("r"))).alias("h")).select("id", "role", "h.*")
-        rows = materialize(split.join(_alive(split).select("key", "n", "least"), "key"), "segments")
+        split = rows.where(f"n > {SMALL} and r > {SHORT}").select("id", "role", F.explode(_blocks(F.col("key"), F.col("rest"), F.col("r"))).alias("h")).select("id", "role", "h.*")
+        rows = materialize(split.join(_alive(split), "key"), "segments")
 
 
-def _links(rows: DataFrame) -> DataFrame:
-    """Pairs of small groups of short rests; stars of large ones in which nothing is left to differ."""
-    small = rows.where(f"n <= {SMALL} and r <= {SHORT}")
+def _pairs(small: DataFrame) -> DataFrame:
+    """Verified pairs of small groups."""
     a = small.where(F.col("role") == SHORTER).select("key", F.col("id").alias("u"), F.col("rest").alias("x"))
     b = small.select("key", F.col("id").alias("v"), F.col("rest").alias("y"), "role")
     pairs = a.join(b, "key").where(((F.col("role") == LONGER) | (F.col("u") < F.col("v"))) & (F.col("u") != F.col("v")))
-    near = pairs.where(edits_within(F.col("x"), F.col("y"), THRESHOLD).isNotNull()).select("u", "v")
-    # r <= 1: two indexed rests differ in a letter at most; r = 0: so do those of the longer lines
-    stars = rows.where((F.col("n") > SMALL) & ((F.col("r") == 0) | ((F.col("r") == 1) & (F.col("role") == SHORTER))))
-    return near.unionByName(stars.select(F.col("least").alias("u"), F.col("id").alias("v")).where("u <> v"))
+    # a lambda's variable holds what differs: as plain expressions it would be made again at every use
+    near = F.exists(F.array(_differing(F.col("x"), F.col("y"))), lambda s: edits_within(s["x"], s["y"], THRESHOLD).isNotNull())
+    return pairs.where(near).select("u", "v")
+
+
+def _stars(many: DataFrame) -> DataFrame:
+    """Each short rest of a large group with the first of those that agree but for one letter."""
+    each = many.select("id", "role", F.explode(_letters(F.col("key"), F.col("rest"), F.col("role"))).alias("key"))
+    least = each.groupBy("key").agg(F.min("id").alias("u"), F.max("id").alias("most"), F.min("role").alias("role")).where(f"u < most and role = {SHORTER}")
+    return each.select("key", F.col("id").alias("v")).join(least.select("key", "u"), "key").where("u <> v").select("u", "v")
 
 
 def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, row_key, line_no, class_doc_id, class_line_no, kept) of every line."""
     lines = lines_of(docs, doc_id, text).withColumn("id", F.when(F.length("line") >= MIN_CHARS, F.xxhash64("line")))
-    long_lines = lines.where("id is not null")
-    distinct = long_lines.groupBy("id").agg(F.min("line").alias("line"))
-    roots = materialize(components(near_links(distinct)), "classes")
+    roots = materialize(components(near_links(lines.where("id is not null").select("id", "line"))), "classes")
     place = F.struct("doc_id", "row_key", "line_no")
     slim = lines.select("doc_id", "row_key", "line_no", "id")
-    first = slim.where("id is not null").groupBy("id").agg(F.min(place).alias("first"))
-    linked = first.join(roots, first.id == roots.node).select("id", "root", "first")
-    near = linked.join(linked.groupBy("root").agg(F.min("first").alias("near_first")), "root").select("id", "near_first")
-    named = first.join(near, "id", "left").select("id", F.coalesce("near_first", "first").alias("first"))
-    found = slim.join(named, "id", "left").withColumn("first", F.coalesce("first", place))
+    long = slim.where("id is not null")
+    # lines that occur more than once or have neighbours; all others, and short ones, are classes of their own
+    first = long.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(roots.withColumnRenamed("node", "id"), "id", "left")
+    some = materialize(first.where("n > 1 or root is not null").select("id", "first", "root"), "firsts")
+    # written down, so that Spark can split a class or a line with very many rows where it joins them
+    least = materialize(some.where("root is not null").groupBy("root").agg(F.min("first").alias("least")), "least")
+    near = some.where("root is not null").join(least, "root").select("id", F.col("least").alias("first"))
+    named = some.where("root is null").select("id", "first").unionByName(near)
+    found = long.join(named, "id", "left").withColumn("first", F.coalesce("first", place))
+    found = found.unionByName(slim.where("id is null").withColumn("first", place))
     return found.select(
         "doc_id", "row_key", "line_no", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"), F.col("first").eqNullSafe(place).alias("kept")
     )

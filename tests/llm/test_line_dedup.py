@@ -73,6 +73,15 @@ def test_many_variants_of_a_line(spark):
     assert {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no) for r in got} == brute(docs)
 
 
+def test_many_lines_one_letter_longer(spark):
+    base = "".join(random.Random(9).choice("abcdef ") for _ in range(1500))
+    docs = [(i, base[: 50 * i + 7] + chr(200 + i) + base[50 * i + 7 :]) for i in range(30)]
+    docs += [(100 + i, base[:700] + chr(200 + i) + base[700:]) for i in range(30)] + [(200 + i, "x" + base[1 : 40 * i + 40] + "-" + base[40 * i + 41 :]) for i in range(30)]
+    for some in (docs, [*docs, (300, base)]):
+        got = L.line_classes(spark.createDataFrame(some, "doc_id bigint, text string")).collect()
+        assert {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no) for r in got} == brute(some)
+
+
 def test_edit_distance(spark):
     rnd = random.Random(3)
     pairs = [("".join(rnd.choice("abé") for _ in range(rnd.randrange(9))), "".join(rnd.choice("abé") for _ in range(rnd.randrange(9)))) for _ in range(300)]
