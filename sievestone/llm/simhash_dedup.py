@@ -12,6 +12,11 @@ shards. A shard yields a spanning forest, never its pairs; components.py joins t
 Defined results: a null text is the empty text; a text without words has fingerprint 0 and is linked like any other.
 Repeated rows and equal texts share a component. Texts are read whole. A null doc_id is carried; a component's id is
 the smallest non-null one. Columns that the operator adds replace columns of the same name.
+
+RADIUS and WIDTH are the query's. The pipeline's stage links texts whose sets of STAGE_WIDTH-word shingles have a Jaccard
+similarity of 4/5 or more. Of two such sets one shingle at least is among the smallest fifth of both, so texts meet in
+the shards of these (prefix filter, exact); a shard's trees give candidates at STAGE_RADIUS bits, between fingerprints of the sets,
+and the sets themselves decide.
 """
 
 from __future__ import annotations
@@ -28,28 +33,53 @@ from sievestone.llm.components import components
 from sievestone.session import arrow_batches, materialize
 
 RADIUS, WIDTH, SEED = 3, 3, 42
+#: At a similarity of 4/5 fingerprints differ in some 10 of 64 bits, 12 for sets of four and five; 24 are 4 deviations more.
+STAGE_RADIUS, STAGE_WIDTH = 24, 5
 #: Hashes held at once while a long text is read, and links looked at together.
 HASHES, FRONTIER = 1 << 17, 1 << 20
 
 
-def fingerprint(text: str | None, width: int = WIDTH) -> int:
-    """The 64-bit majority of the shingles' hashes; bit set if in over half of them."""
+def shingle_digests(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """The big-endian bytes of the shingles' hashes, a row each, HASHES rows at a time; nothing for a text without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     flat = b" ".join(words)
     ends = np.cumsum([len(w) for w in words]) + np.arange(len(words))
     starts = [0, *(ends[:-1] + 1).tolist()]
     stops = ends[width - 1 :].tolist() or [len(flat)]
     digest, n = xxhash.xxh64_digest, len(stops)
-    sums = np.zeros(64, np.int64)
     for a in range(0, n, HASHES):
         b = min(a + HASHES, n)
         got = b"".join([digest(flat[i:j], SEED) for i, j in zip(starts[a:b], stops[a:b], strict=True)])
-        sums += np.unpackbits(np.frombuffer(got, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        yield np.frombuffer(got, np.uint8).reshape(-1, 8)
+
+
+def _majority(digests: Iterator[np.ndarray]) -> int:
+    sums, n = np.zeros(64, np.int64), 0
+    for rows in digests:
+        sums += np.unpackbits(rows, axis=1).sum(0, dtype=np.int64)
+        n += len(rows)
     return int.from_bytes(np.packbits(2 * sums > n).tobytes(), "big")
 
 
+def fingerprint(text: str | None, width: int = WIDTH) -> int:
+    """The 64-bit majority of the shingles' hashes; bit set if in over half of them."""
+    return _majority(shingle_digests(text, width))
+
+
+def shingle_set(text: str | None, width: int = STAGE_WIDTH) -> np.ndarray:
+    """The distinct hashes of the shingles, in order."""
+    parts = [rows.copy().view(">u8").ravel().astype(np.uint64) for rows in shingle_digests(text, width)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The majority over a set: a shingle that is repeated counts once, as it does in the similarity."""
+    rows = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
+    return _majority(rows[a : a + HASHES] for a in range(0, len(rows), HASHES))
+
+
 def with_fingerprints(docs: DataFrame, keep: list[str], text: str = "text", width: int = WIDTH) -> DataFrame:
     """keep and fp (the fingerprint as a signed long); one pass, no shuffle."""
     keep = [c for c in keep if c != "fp"]
@@ -119,7 +149,7 @@ class Forest:
             near = (d <= radius) & (at < q)
             if near.any():
                 yield q[near], at[near]
-            lo = np.searchsorted(self.keys, at * 65 + np.maximum(d - radius, 1))
+            lo = np.searchsorted(self.keys, at * 65 + np.maximum(d - radius, 0))
             hi = np.searchsorted(self.keys, at * 65 + np.minimum(d + radius, 64), "right")
             n = hi - lo
             if n.sum():
@@ -153,6 +183,25 @@ def spanning_edges(shard: np.ndarray, points: np.ndarray, radius: int) -> tuple[
     return points[moved], points[parent[moved]]
 
 
+def _whole_shards(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[np.ndarray]:
+    """Sorted batches of long columns as arrays of whole shards; the first `keys` columns name the shard."""
+    held: list[np.ndarray] = []
+    size = 0
+    for batch in batches:
+        block = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(batch.num_columns)])
+        held.append(block)
+        size += block.shape[1]
+        if size < 1 << 18:
+            continue
+        rows = np.concatenate(held, axis=1)
+        last = int(np.argmax((rows[:keys] == rows[:keys, -1:]).all(0)))  # the last shard may go on
+        if last:
+            yield rows[:, :last]
+        held, size = [rows[:, last:]], rows.shape[1] - last
+    if held:
+        yield np.concatenate(held, axis=1)
+
+
 def link_fingerprints(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     """Edges (u, v) that connect what lies within radius; distinct: one column fp, n: about how many."""
     tables = []
@@ -166,21 +215,8 @@ def link_fingerprints(distinct: DataFrame, n: int, radius: int = RADIUS) -> Data
     shards = shards.repartition("t", "key").sortWithinPartitions("t", "key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-        for batch in batches:
-            block = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)])
-            held.append(block)
-            size += block.shape[1]
-            if size < 1 << 18:
-                continue
-            rows = np.concatenate(held, axis=1)
-            last = int(np.argmax((rows[0] == rows[0, -1]) & (rows[1] == rows[1, -1])))  # the last shard may go on
-            if last:
-                yield edges(rows[:, :last])
-            held, size = [rows[:, last:]], rows.shape[1] - last
-        if held:
-            yield edges(np.concatenate(held, axis=1))
+        for rows in _whole_shards(batches, 2):
+            yield edges(rows)
 
     def edges(rows: np.ndarray) -> pa.RecordBatch:
         new = np.concatenate([[True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])]) if rows.shape[1] else np.zeros(0, bool)
@@ -209,10 +245,77 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _prefixes(rows: DataFrame, text: str) -> DataFrame:
+    """(_row, doc_id, same, n, fp, prefix): equal sets have equal `same`; n: shingles; prefix: the smallest of them, as longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same, sizes, fps, prefix = [], [], [], []
+            for t in batch.column(text).to_pylist():
+                hashes = shingle_set(t)
+                n = len(hashes)
+                same.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+                sizes.append(n)
+                fps.append(set_fingerprint(hashes))
+                # a partner shares (4n + 4) // 5 of them or more, and so one of these
+                prefix.append(hashes[: n - (4 * n + 4) // 5 + 1].view(np.int64) if n else np.zeros(0, np.int64))
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (same, sizes, fps)]
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), *longs, pa.array(prefix, pa.list_(pa.int64()))], ["_row", "doc_id", "same", "n", "fp", "prefix"])
+
+    arrow_batches(rows.sparkSession)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("_row", "doc_id", text).mapInArrow(run, f"_row bigint, doc_id {kind}, same bigint, n bigint, fp bigint, prefix array<bigint>")
+
+
+def _candidates(sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) that may be similar, each once. sets: (_row, n, fp, prefix)."""
+    entries = sets.select("_row", "n", "fp", F.posexplode("prefix").alias("at", "key")).select("key", "_row", "n", F.col("at").cast("long").alias("at"), "fp")
+    entries = entries.repartition("key").sortWithinPartitions("key", "_row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_shards(batches, 1):
+            new = np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]) if rows.shape[1] else np.zeros(0, bool)
+            alone = new & np.concatenate([new[1:], [True]]) if len(new) else new
+            shard, (_, node, n, at, fp) = np.cumsum(new)[~alone], rows[:, ~alone]
+            for a, b in Forest(shard, fp.view(np.uint64)).neighbours(STAGE_RADIUS):
+                # sizes within 4/5; at the first shingle that both have, what is left of either reaches what they must share
+                near = (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])) & (9 * np.minimum(n[a] - at[a], n[b] - at[b]) >= 4 * (n[a] + n[b]))
+                if near.any():
+                    pairs = np.unique(np.stack([node[b][near], node[a][near]]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
+
+    return entries.mapInArrow(run, "u bigint, v bigint").distinct()
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """The pairs whose sets have a similarity of 4/5 or more. Reads the texts of these rows again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t).view(np.int64) for t in batch.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(sets, pa.list_(pa.int64()))], ["_row", "hs"])
+
+    some = pairs.select(F.explode(F.array("u", "v")).alias("_row")).distinct()
+    sets = materialize(rows.select("_row", text).join(some, "_row", "left_semi").mapInArrow(run, "_row bigint, hs array<bigint>"), "sets")
+    both = pairs.join(sets.select(F.col("_row").alias("u"), F.col("hs").alias("a")), "u").join(sets.select(F.col("_row").alias("v"), F.col("hs").alias("b")), "v")
+    return both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
+
+
+def near_copies(rows: DataFrame, text: str = "text") -> DataFrame:
+    """(_row, doc_id, component) of every row that has copies or near copies. rows: (_row, doc_id, text), written down."""
+    prints = materialize(_prefixes(rows, text), "prefixes")
+    equal = materialize(prints.groupBy("same").agg(F.min("_row").alias("first"), F.count("*").alias("copies")), "equal-sets")
+    sets = prints.join(equal.select(F.col("first").alias("_row")), "_row", "left_semi")
+    pairs = materialize(_candidates(sets.select("_row", "n", "fp", "prefix")), "candidates")
+    roots = materialize(components(_similar(pairs, rows, text)), "roots")
+    placed = equal.join(roots, equal["first"] == roots.node, "left").where("copies > 1 or root is not null")
+    return prints.select("_row", "doc_id", "same").join(placed.select("same", F.coalesce("root", "first").alias("component")), "same").select("_row", "doc_id", "component")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the row with the smallest doc_id stays; of rows that share it, the first by all columns."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_simhash_key")
-    found = near_duplicates(docs, ["doc_id"])
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_simhash_row"), key).join(kept, "_simhash_key", "left_semi")
-    return rows.groupBy("_simhash_key").agg(F.min("_simhash_row").alias("_simhash_row")).select("_simhash_row.*")
+    """Of each component of near copies one row stays, that with the smallest doc_id; null ids come last."""
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = materialize(near_copies(rows), "copies")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
+    gone = found.join(first, "component").where(F.col("_row") != F.col("first._row")).select("_row")
+    return rows.join(gone, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

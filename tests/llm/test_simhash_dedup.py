@@ -90,3 +90,62 @@ def test_components_of_a_chain_and_a_star(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
     assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def brute_links(texts):
+    """Pairs of texts, by index, whose five-word shingles have a similarity of 0.8 or more."""
+    sets = [shingles(t) for t in texts]
+    alike = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b) and len(a & b) > 0
+    return {(i, j) for j in range(len(sets)) for i in range(j) if alike(sets[i], sets[j])}
+
+
+def near_texts():
+    """Texts about the similarity of 0.8: long and short ones, with words replaced, put in, cut off and repeated."""
+    rnd = random.Random(11)
+    word = lambda: f"w{rnd.randrange(3000)}"
+    base = [[word() for _ in range(n)] for n in (5, 8, 9, 12, 20, 40, 60, 120, 200, 300, 400, 900) for _ in range(3)]
+    texts = []
+    for w in base:
+        texts.append(" ".join(w))
+        for k in range(8):
+            x = list(w)
+            for _ in range(rnd.randrange(1, 2 + len(w) // 40)):
+                at = rnd.randrange(len(x))
+                x[at : at + rnd.randrange(2)] = [word()]
+            if k % 4 == 1:
+                x = x[: len(x) - rnd.randrange(1, 2 + len(x) // 5)]
+            texts.append(" ".join(x).upper() if k % 4 == 2 else " ".join(x))
+        texts.append(" ".join(w + w[-6:] * 30))
+    return texts
+
+
+def roots_of(n, links):
+    up = list(range(n))
+    for i, j in sorted(links, key=lambda x: x[1]):
+        a, b = up[i], up[j]
+        up = [min(a, b) if x in (a, b) else x for x in up]
+    return up
+
+
+def test_stage_keeps_one_of_each_component_of_near_copies(spark):
+    texts = near_texts()
+    links = brute_links(texts)
+    far = sum(bin(S.fingerprint(texts[i]) ^ S.fingerprint(texts[j])).count("1") > 3 for i, j in links)
+    assert far > len(links) / 2  # the query's radius misses most
+    up = roots_of(len(texts), links)
+    got = S.stage(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(up))
+
+
+def test_stage_finds_the_pairs_that_brute_force_finds(spark):
+    texts = near_texts()
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "_row bigint, doc_id bigint, text string")
+    pairs = S._candidates(S._prefixes(rows, "text").select("_row", "n", "fp", "prefix"))
+    got = {(min(r.u, r.v), max(r.u, r.v)) for r in S._similar(pairs, rows, "text").collect()}
+    want = brute_links(texts)
+    assert len(want) > 200 and got == want
