@@ -313,9 +313,18 @@ def near_copies(rows: DataFrame, text: str = "text") -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies one row stays, that with the smallest doc_id; null ids come last."""
+    """Of each component of near copies one row stays: that with the smallest doc_id, null ids last, then the smallest text, then
+    the smallest in all columns. Rows are told apart by a number of their own, whatever their ids."""
     rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     found = materialize(near_copies(rows), "copies")
-    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
-    gone = found.join(first, "component").where(F.col("_row") != F.col("first._row")).select("_row")
-    return rows.join(gone, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
+    least = found.groupBy("component").agg(F.min(place).alias("least"))
+    tied = found.join(least, "component").where(place == F.col("least")).select("component", "_row")
+    # texts are read only where an id does not tell a component's rows apart
+    ties = tied.groupBy("component").agg(F.min("_row").alias("_row"), F.count("*").alias("n"))
+    open_ = tied.join(ties.where("n > 1").select("component"), "component")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    read = rows.join(open_, "_row").groupBy("component").agg(F.min(F.struct("text", *[c.alias(f"c{i}") for i, c in enumerate(columns)], "_row")).alias("first"))
+    kept = ties.where("n = 1").select("_row").unionByName(read.select("first._row"))
+    gone = found.join(kept, "_row", "left_anti").select("_row")
+    return rows.join(gone, "_row", "left_anti").select(*columns)

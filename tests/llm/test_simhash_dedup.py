@@ -149,3 +149,19 @@ def test_stage_finds_the_pairs_that_brute_force_finds(spark):
     got = {(min(r.u, r.v), max(r.u, r.v)) for r in S._similar(pairs, rows, "text").collect()}
     want = brute_links(texts)
     assert len(want) > 200 and got == want
+
+
+def test_stage_with_null_and_shared_ids(spark):
+    a, b, c = ("a text of its own that nobody shares", "another one which is nobody else's either", "and a third that is like none of them at all")
+    rows = [(None, a), (None, b), (None, b), (None, c), (1, c), (2, "the one text of the two under an id"), (2, "quite other words stand in the second of them"), (2, None)]
+    got = S.stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
+    want = [(None, a), (None, b), (1, c), (2, None), (2, rows[5][1]), (2, rows[6][1])]
+    key = lambda r: (r[0] or 0, r[1] or "")
+    assert sorted([tuple(r) for r in got], key=key) == sorted(want, key=key)
+
+
+def test_stage_keeps_the_smallest_text_of_an_id(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(None, "A " + text, 1), (5, text + " z", 1), (5, text + " b", 3), (5, text + " b", 2), (7, "B " + text, 1)]
+    got = S.stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string, n bigint").repartition(3), "").collect()
+    assert [tuple(r) for r in got] == [(5, text + " b", 2)]
