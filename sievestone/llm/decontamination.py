@@ -4,7 +4,8 @@ Numbers, names (capitalised words inside a sentence, but not words in capitals t
 row of lower-case words. Windows of WIDTH words are hashed and joined with the windows of the benchmark. Windows of a
 document and an item on one diagonal (equal distance of positions) are a match when they cover RUN words or the whole
 item. Where a match holds placeholders, their values must map one to one from the item to the document: `2 kg ... 2`
-may become `7 kg ... 7`, not `7 kg ... 9`.
+may become `7 kg ... 7`, not `7 kg ... 9`. Windows of few words outside placeholders identify nothing but by their values: every
+window is joined by its words as they stand, too, so that a verbatim copy is found whatever it holds.
 
 Native: SQL functions only, no Python on the executors.
 
@@ -63,6 +64,20 @@ def slot_words(text: Column) -> Column:
     return _split(F.regexp_replace(t, r"(?<=\p{Nd})[.,:/](?=\p{Nd}+(?:[.,:/]\p{Nd}+)*\x{E001})", INNER))
 
 
+def canonical(slots: Column) -> Column:
+    """words() from slot_words()."""
+    return F.transform(slots, lambda w: F.when(F.startswith(w, F.lit(OPEN)), F.concat(F.substring(w, 1, 2), F.lit(CLOSE))).otherwise(w))
+
+
+def _bare(w: Column) -> Column:
+    return F.when(F.startswith(w, F.lit(OPEN)), F.substring(w, F.lit(4), F.length(w) - 4)).otherwise(w)
+
+
+def literal(slots: Column) -> Column:
+    """The words as they stand, at the positions of slot_words(); the same whatever counts as a name."""
+    return F.transform(slots, _bare)
+
+
 def window_hashes(hashes: Column, width: int) -> Column:
     """The hash of every window of width word hashes."""
     n = F.size(hashes) - width + 1
@@ -71,22 +86,25 @@ def window_hashes(hashes: Column, width: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(width, h, item_id, at, n_windows, n_slots) of every window with LITERALS words, or half its words, outside placeholders."""
+    """(width, h, item_id, at, n_windows, n_slots) of every window with LITERALS words, or half its words, outside placeholders,
+    and of every window as it stands (n_slots 0)."""
     # an item's first word stands in a sentence when a document quotes it, and may be a name there; a document in capitals
     # or small letters has no names: all forms are kept
     inside = words(F.concat(F.lit("x, "), F.col(text)))
     forms = F.array(words(F.col(text)), F.slice(inside, F.lit(2), F.greatest(F.size(inside) - 1, F.lit(0))), words(F.lower(F.col(text))))
-    items = benchmark.select(F.col(item_id).alias("item_id"), F.explode(forms).alias("w")).where(F.size("w") >= LEAST)
+    forms = F.concat(F.transform(forms, lambda w: F.struct(w.alias("w"), F.lit(False).alias("exact"))), F.array(F.struct(literal(slot_words(F.col(text))).alias("w"), F.lit(True).alias("exact"))))
+    items = benchmark.select(F.col(item_id).alias("item_id"), F.explode(forms).alias("form")).select("item_id", "form.*").where(F.size("w") >= LEAST)
     items = items.withColumn("width", F.least(F.size("w"), F.lit(WIDTH)))
     n = F.size("w") - F.col("width") + 1
-    each = items.select("item_id", "w", "width", n.alias("n_windows"), F.explode(F.sequence(F.lit(0), n - 1)).alias("at"))
+    each = items.select("item_id", "w", "exact", "width", n.alias("n_windows"), F.explode(F.sequence(F.lit(0), n - 1)).alias("at"))
     part = F.expr("slice(w, at + 1, width)")
     hashed = F.transform(part, lambda x: F.xxhash64(x))
     own = F.coalesce(*[F.when(F.col("width") == k, F.xxhash64(F.lit(k), *[F.get(hashed, F.lit(j)) for j in range(k)])) for k in range(LEAST, WIDTH + 1)])
     slots = F.size(F.filter(part, lambda x: F.startswith(x, F.lit(OPEN))))
     return (
-        each.select("width", own.alias("h"), "item_id", "at", "n_windows", slots.alias("n_slots"))
-        .where(F.col("width") - F.col("n_slots") >= F.least(F.lit(LITERALS), (F.col("width") + 1) / 2))
+        each.select("width", own.alias("h"), "item_id", "at", "n_windows", slots.alias("n_slots"), "exact")
+        .where(F.col("exact") | (F.col("width") - F.col("n_slots") >= F.least(F.lit(LITERALS), (F.col("width") + 1) / 2)))
+        .drop("exact")
         .distinct()
     )
 
@@ -97,29 +115,36 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     sizes = bench.groupBy("width").count().collect()  # WIDTH rows at most
     widths, total = sorted({r["width"] for r in sizes}) or [WIDTH], sum(r["count"] for r in sizes)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    hashed = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hs"))
-    every = [hashed.select("doc_id", "text_hash", F.posexplode(window_hashes(F.col("hs"), k)).alias("pos", "h")) for k in widths]
-    probes = every[0]
-    for more in every[1:]:
-        probes = probes.unionByName(more)
+    slots = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), slot_words(F.col("text")).alias("sw"))
+    hashed = slots.select("doc_id", "text_hash", *[F.transform(form(F.col("sw")), lambda w: F.xxhash64(w)).alias(name) for form, name in ((canonical, "hs"), (literal, "es"))])
+
+    def probe(own: Column, other: Column | None = None) -> Column:
+        """(pos, h) of the windows; those that are the same in the other form are there once."""
+        placed = F.transform(own, lambda h, i: F.struct(i.alias("pos"), h.alias("h")))
+        return placed if other is None else F.filter(placed, lambda x: x["h"] != F.get(other, x["pos"]))
+
+    # one pass over the texts for all widths
+    windows = hashed.select("doc_id", "text_hash", *[window_hashes(F.col(c), k).alias(f"{c}{k}") for k in widths for c in ("hs", "es")])
+    every = [x for k in widths for x in (probe(F.col(f"hs{k}")), probe(F.col(f"es{k}"), F.col(f"hs{k}")))]
+    probes = windows.select("doc_id", "text_hash", F.explode(F.concat(*every)).alias("p")).select("doc_id", "text_hash", "p.*")
     side = F.broadcast(bench) if total <= BROADCAST_WINDOWS else bench
     hits = probes.join(side, "h").select("doc_id", "text_hash", "item_id", (F.col("pos") - F.col("at")).alias("diagonal"), "at", "width", "n_windows", "n_slots")
     # a document's rows are in one task: what is shuffled is one row for each diagonal. at runs over an item's windows.
     lines = hits.groupBy("doc_id", "text_hash", "item_id", "diagonal").agg(
-        F.array_sort(F.collect_set(F.struct("at", "n_slots"))).alias("found"), F.max("width").alias("width"), F.max("n_windows").alias("item_windows")
+        F.array_sort(F.collect_set("at")).alias("found"), F.max("n_slots").alias("n_slots"), F.max("width").alias("width"), F.max("n_windows").alias("item_windows")
     )
     need = F.least(F.lit(RUN - WIDTH + 1), F.col("item_windows"))
     lines = materialize(lines.where(F.size("found") >= need), "leaks")
-    slotted = lines.where(F.exists("found", lambda x: x["n_slots"] > 0))
-    plain = lines.where(~F.exists("found", lambda x: x["n_slots"] > 0))
+    slotted = lines.where("n_slots > 0")
+    plain = lines.where("n_slots = 0")
     checked = plain if slotted.isEmpty() else plain.unionByName(_consistent(slotted, rows, benchmark))
     best = checked.groupBy("doc_id", "item_id").agg(
         F.max(
             F.struct(
                 F.size("found").alias("n_windows"),
-                (-(F.col("diagonal") + F.col("found")[0]["at"])).alias("neg"),
+                (-(F.col("diagonal") + F.col("found")[0])).alias("neg"),
                 "item_windows",
-                F.aggregate("found", F.lit(0), lambda a, x: F.greatest(a, x["n_slots"])).alias("n_slots"),
+                "n_slots",
             )
         ).alias("b")
     )
@@ -141,9 +166,11 @@ def _consistent(lines: DataFrame, rows: DataFrame, benchmark: DataFrame) -> Data
     )
     texts = texts.groupBy("doc_id", "text_hash").agg(F.min("text").alias("text")).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), slot_words(F.col("text")).alias("dw"))
     both = lines.join(items, "item_id").join(texts, lines.doc_id.eqNullSafe(texts.d) & (lines.text_hash == texts.t))
-    spots = F.array_distinct(F.flatten(F.transform("found", lambda x: F.sequence(x["at"], x["at"] + F.col("width") - 1))))
+    spots = F.array_distinct(F.flatten(F.transform("found", lambda x: F.sequence(x, x + F.col("width") - 1))))
     pairs = F.transform(spots, lambda i: F.struct(F.get("iw", i).alias("a"), F.get("dw", i + F.col("diagonal")).alias("b")))
-    pairs = F.array_distinct(F.filter(pairs, lambda p: F.startswith(p["a"], F.lit(OPEN))))
+    pairs = F.filter(pairs, lambda p: F.startswith(p["a"], F.lit(OPEN)))
+    # a name may be none in the document, where its window was found as it stands
+    pairs = F.array_distinct(F.transform(pairs, lambda p: F.struct(p["a"].alias("a"), F.concat(F.substring(p["a"], 1, 2), _bare(p["b"])).alias("b"))))
     one = F.size(F.array_distinct(F.transform(pairs, lambda p: p["a"]))) == F.size(pairs)
     other = F.size(F.array_distinct(F.transform(pairs, lambda p: p["b"]))) == F.size(pairs)
     return both.where(one & other).select(*lines.columns)

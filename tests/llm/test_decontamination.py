@@ -100,3 +100,25 @@ def test_words_align(spark):
     r = spark.range(1).select(D.words(F.lit(t)).alias("w"), D.slot_words(F.lit(t)).alias("s")).first()
     assert len(r.w) == len(r.s)
     assert [a[:2] == b[:2] if a.startswith(D.OPEN) else a == b for a, b in zip(r.w, r.s)] == [True] * len(r.w)
+
+
+RICH = [
+    (1, "Which of these is prime: 12, 15, 17, 21, 25, 27, 33, 35, 39, 49?"),
+    (2, "Compute 12 + 7 * 3 - 4 / 2 + 9 * 5 - 6 + 8."),
+    (3, "Who wrote the novel War and Peace, Leo Tolstoy, Fyodor Dostoevsky, Anton Chekhov or Ivan Turgenev?"),
+    (4, "7 8 9 kg"),
+]
+
+
+def test_verbatim_copies_of_items_rich_in_placeholders(spark):
+    docs = [(i, f"it was asked there. {t} And so on", "x") for i, t in RICH] + [(10 + i, t.upper(), "x") for i, t in RICH]
+    docs += [(21, RICH[0][1].replace("17", "18").replace("27", "28"), "x"), (22, "Compute 1 + 2 * 3 - 4 / 5 + 6 * 7 - 8 + 9.", "x"), (23, RICH[2][1].replace("Leo", "Eva").replace("Anton", "Olga").replace("Dostoevsky", "Berg"), "x")]
+    got = found(spark, docs, RICH)
+    assert set(got) == {(i, i) for i, _ in RICH} | {(10 + i, i) for i, _ in RICH}
+    assert all(r.n_windows == r.item_windows for k, r in got.items() if k[0] < 10)
+
+
+def test_canonical_words_from_slots(spark):
+    texts = [ITEM, BENCH[5][1], *[t for _, t in RICH], "At 1:30 we met Anna, then 5kg of rice for Bob at 12.5 % came_late. 3 m", "", None]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select(D.words(F.col("t")).alias("w"), D.canonical(D.slot_words(F.col("t"))).alias("c")).collect():
+        assert r.w == r.c
