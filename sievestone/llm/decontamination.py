@@ -42,7 +42,7 @@ ONES = "zero one two three four five six seven eight nine ten eleven twelve thir
 TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
 #: Spelled numbers and their digits; tens and ones are one word by then.
 SPELLED = {w: i for i, w in enumerate(ONES)} | {t + (ONES[k] if k else ""): 10 * i + k for i, t in enumerate(TENS, 2) for k in range(10)} | {"hundred": 100, "thousand": 1000, "million": 10**6}
-JOINED = rf"(?i)(?<=\b(?:{'|'.join(TENS)}))[\s-](?=(?:{'|'.join(ONES[1:10])})\b)"
+JOINED = rf"(?i)(?<=\b(?:{'|'.join(TENS)}))-(?=(?:{'|'.join(ONES[1:10])})\b)"
 CAPITALISED = r"\p{Lu}(?=[\p{L}\p{M}]*\p{Ll})[\p{L}\p{M}]*"
 # a name is taken with the white space before it, by which it is known
 TOKEN = rf"(?<=[\p{{L}}\p{{N}},;])\s++[\"'“‘«(\[]?{CAPITALISED}(?:(?:\s+|-){CAPITALISED})*+|\p{{Nd}}++(?:[.,:/]\p{{Nd}}+)*|[a-zA-Z\p{{L}}\p{{M}}\p{{N}}]++"
@@ -68,7 +68,9 @@ def _digits(w: Column) -> Column:
 
 def slot_words(text: Column) -> Column:
     """The canonical words of a text, placeholders with their values. A sharp s is two letters, as it is in capitals."""
-    whole = F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("ß"), F.lit("ss")), JOINED, "")
+    whole = F.replace(F.coalesce(text, F.lit("")), F.lit("ß"), F.lit("ss"))
+    # the pattern is tried at every hyphen; few texts need it
+    whole = F.when(F.contains(F.lower(whole), F.lit("ty-")), F.regexp_replace(whole, JOINED, "")).otherwise(whole)
     found = F.transform(F.regexp_extract_all(whole, F.lit(TOKEN), F.lit(0)), lambda w: F.lower(w))
     digits = F.create_map(*[F.lit(x) for w, n in SPELLED.items() for x in (w, str(n))])
 
@@ -158,7 +160,8 @@ def _diagonals(rows: DataFrame, words: Column, widths: list[int], bench: DataFra
     # one pass over the texts for all widths
     listed = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), words.alias("words"))
     sets = listed.select("doc_id", "text_hash", *[window_hashes(F.col("words"), k).alias(f"w{k}") for k in widths])
-    probes = sets.select("doc_id", "text_hash", F.lit(widths[0]).alias("width"), F.posexplode(f"w{widths[0]}").alias("pos", "h"))
+    # outer, as the optimizer would else filter by the size of the array, and work it out twice
+    probes = sets.select("doc_id", "text_hash", F.lit(widths[0]).alias("width"), F.posexplode_outer(f"w{widths[0]}").alias("pos", "h"))
     if len(widths) > 1:
         each = F.array(*[F.struct(F.lit(k).alias("width"), F.col(f"w{k}").alias("hs")) for k in widths])
         probes = sets.select("doc_id", "text_hash", F.explode(each).alias("s")).select("doc_id", "text_hash", "s.width", F.posexplode("s.hs").alias("pos", "h"))
