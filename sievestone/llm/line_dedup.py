@@ -1,12 +1,13 @@
-"""Line dedup by a segment-partition edit join, for lines that differ in at most one edit.
+"""Line dedup by a segment-partition edit join, for lines that are equal or differ in at most one edit.
 
-Lines of MIN_CHARS code points and more take part; equal ones count as one by a 64-bit hash. With threshold 1 a line is
+Lines that hold more than spaces take part; equal ones count as one by a 64-bit hash, whatever their length. From
+EDIT_CHARS code points on a line has a threshold of one edit, below that of none. With threshold 1 a line is
 split into two segments: of two lines within one edit, one segment of the shorter occurs in the longer, at its start
 or at its end. The index holds each line's two segments under its length; a line probes the index of its own length
 and, as the longer one, of the length below. What shares a segment is a candidate, and only the other segments, the
 rests, still differ.
 
-- First keys alone are counted; lines are read again for the segments that two of them share.
+- First keys alone are counted; lines are read again for the segments that two of them share, each at its first place alone.
 - Groups of few rests: pairs, cut down to what differs and verified by a banded bit-parallel edit distance.
 - Groups of many rests are cut into blocks, at most BLOCKS of them, and indexed again by all but one block, until groups
   are small or blocks short. Of many short rests each is indexed by all but one letter, and those that agree are joined
@@ -15,9 +16,10 @@ rests, still differ.
 Links make classes (connected components). Of a class the first occurrence by doc_id and line number stays.
 Native: SQL functions only, no Python on the executors.
 
-Defined results: a null text is one empty line. Shorter lines are classes of their own and stay, however often they
-occur. Rows with equal id and text are one document: they keep the same lines. Texts are read whole. Lines are split
-at newlines alone. Columns of the input other than the id and the text are carried unread.
+Defined results: a null text is one empty line. Lines of spaces alone, or of nothing, are classes of their own and stay, however often
+they occur. Rows with equal id and text are one document: they keep the same lines. A null id comes first. Texts are read
+whole. Lines are split at newlines alone. An empty table gives none. Columns of the input other than the id and the text are
+carried unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from sievestone.llm.components import components
 from sievestone.session import materialize
 
-MIN_CHARS, THRESHOLD, SMALL, SHORT, BLOCKS = 32, 1, 8, 16, 64
+EDIT_CHARS, THRESHOLD, SMALL, SHORT, BLOCKS = 32, 1, 8, 16, 64
 SHORTER, LONGER = 0, 1  # roles in a group: what is indexed, and what is one longer
 
 
@@ -81,9 +83,10 @@ def _sum(bits: list[Column]) -> Column:
 def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, row_key, line_no, line) of every line."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    # the key is made below the generator: beside it, it would be made again for every line
+    # the key is made below the generator: beside it, it would be made again for every line. Outer, as the optimizer would
+    # else filter by the number of lines, and split every text twice
     rows = rows.withColumn("row_key", _row_key("doc_id", "text"))
-    return rows.select("doc_id", "row_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return rows.select("doc_id", "row_key", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def _row_key(doc_id: str, text: str) -> Column:
@@ -148,8 +151,9 @@ def _alive(rows: DataFrame) -> DataFrame:
     return sizes.where("n >= 2 and n_index >= 1").select("key", "n")
 
 
-def near_links(lines: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect lines within one edit. lines: (id, line), equal lines under one id, any number of times."""
+def near_links(lines: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Edges (u, v) that connect lines within one edit. lines: (id, row_key, line_no, line), equal lines under one id, any number of times;
+    firsts: (id, row_key, line_no) of one place of each."""
     sized = lines.withColumn("len", F.length("line"))
     n = F.col("len")
     entries = [
@@ -157,13 +161,15 @@ def near_links(lines: DataFrame) -> DataFrame:
         for role in (SHORTER, LONGER)
         for side in (0, 1)
     ]
-    keys = sized.select("id", "len", F.explode(F.array(*entries)).alias("e")).where(f"e.role = {SHORTER} or len > {MIN_CHARS}").select("id", "e.*")
+    keys = sized.select("id", "len", F.explode(F.array(*entries)).alias("e")).where(f"e.role = {SHORTER} or len > {EDIT_CHARS}").select("id", "e.*")
     # a key is one row for each task, then one; few keys stand under two lines
     ends = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("role").alias("role"))
     live = materialize(ends.where(f"a < b and role = {SHORTER}").select("key"), "live-keys")
     shared = materialize(keys.join(live, "key").distinct(), "shared")
-    # texts only of lines that share a segment; by a merge, as their ids grow with the input
-    texts = sized.join(shared.select("id").distinct().hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
+    # texts only of lines that share a segment, from one place of each, so that copies of a line do not meet; by a merge, as
+    # they grow with the input. Repeated rows have a place in common.
+    places = firsts.join(shared.select("id").distinct().hint("merge"), "id", "left_semi")
+    texts = sized.join(places.hint("merge"), ["id", "row_key", "line_no"], "left_semi").groupBy("id").agg(F.min("line").alias("line"))
     cut = shared.join(_alive(shared), "key").join(texts.withColumn("len", F.length("line")), "id")
     r = n - F.col("role")
     first, last = (_segment(F.col("line"), n, r, side) for side in (0, 1))
@@ -202,19 +208,21 @@ def _stars(many: DataFrame) -> DataFrame:
 
 def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, row_key, line_no, class_doc_id, class_line_no, kept) of every line."""
-    lines = lines_of(docs, doc_id, text).withColumn("id", F.when(F.length("line") >= MIN_CHARS, F.xxhash64("line")))
-    roots = materialize(components(near_links(lines.where("id is not null").select("id", "line"))), "classes")
+    lines = lines_of(docs, doc_id, text).withColumn("id", F.when(F.trim("line") != "", F.xxhash64("line")))
     place = F.struct("doc_id", "row_key", "line_no")
     slim = lines.select("doc_id", "row_key", "line_no", "id")
-    long = slim.where("id is not null")
-    # lines that occur more than once or have neighbours; all others, and short ones, are classes of their own
-    first = long.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(roots.withColumnRenamed("node", "id"), "id", "left")
-    some = materialize(first.where("n > 1 or root is not null").select("id", "first", "root"), "firsts")
+    named = slim.where("id is not null")
+    firsts = materialize(named.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n")), "firsts")
+    long = lines.where(F.col("id").isNotNull() & (F.length("line") >= EDIT_CHARS)).select("id", "row_key", "line_no", "line")
+    roots = materialize(components(near_links(long, firsts.select("id", "first.row_key", "first.line_no"))), "classes")
+    # lines that occur more than once or have neighbours; all others are classes of their own
+    some = firsts.join(roots.withColumnRenamed("node", "id"), "id", "left").where("n > 1 or root is not null").select("id", "first", "root")
     # written down, so that Spark can split a class or a line with very many rows where it joins them
+    some = materialize(some, "repeated")
     least = materialize(some.where("root is not null").groupBy("root").agg(F.min("first").alias("least")), "least")
     near = some.where("root is not null").join(least, "root").select("id", F.col("least").alias("first"))
-    named = some.where("root is null").select("id", "first").unionByName(near)
-    found = long.join(named, "id", "left").withColumn("first", F.coalesce("first", place))
+    first = some.where("root is null").select("id", "first").unionByName(near)
+    found = named.join(first, "id", "left").withColumn("first", F.coalesce("first", place))
     found = found.unionByName(slim.where("id is null").withColumn("first", place))
     return found.select(
         "doc_id", "row_key", "line_no", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"), F.col("first").eqNullSafe(place).alias("kept")
@@ -222,22 +230,23 @@ def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the lines that repeat an earlier one; a document that loses all its long lines and has no other left goes.
+    """docs without the lines that repeat an earlier one; a document goes that loses lines and has nothing but blanks left.
 
     n_chars, where there is one, follows the text.
     """
-    columns = docs.columns
     # a line number for each line that goes; positions without them are found by hashing, whatever their number
-    gone = line_classes(docs, doc_id, text).where(~F.col("kept")).groupBy(F.col("row_key").alias("_key")).agg(F.collect_set("line_no").alias("_gone"))
-    rows = docs.withColumn("_text", F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    rows = rows.withColumn("_key", _row_key(doc_id, "_text")).join(gone, "_key", "left")
-    parts = F.split("_text", "\n")
-    left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone")))
-    chosen = F.transform(F.array(F.struct(parts.alias("p"), left.alias("l"))), lambda s: F.transform(s["l"], lambda i: F.get(s["p"], i)))[0]
-    rows = rows.withColumn("_left", F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(chosen, "\n")))
-    rows = rows.where(F.col("_gone").isNull() | (F.trim("_left") != ""))
-    out = [F.col("_left").alias(text) if c == text else F.length("_left").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in columns]
-    return rows.select(*out)
+    gone = line_classes(docs, doc_id, text).where(~F.col("kept")).groupBy(F.col("row_key").alias("key")).agg(F.collect_set("line_no").alias("gone"))
+    # the input's columns in one, so that no name clashes
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("whole"), F.col(f"`{doc_id}`").alias("own_id"))
+    rows = rows.withColumn("key", _row_key("own_id", "whole")).join(gone, "key", "left")
+    parts = F.split("whole", "\n")
+    places = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone")))
+    chosen = F.transform(F.array(F.struct(parts.alias("p"), places.alias("l"))), lambda s: F.transform(s["l"], lambda i: F.get(s["p"], i)))[0]
+    old = F.col(f"row.c{docs.columns.index(text)}")
+    rows = rows.withColumn("left", F.when(F.col("gone").isNull(), old).otherwise(F.array_join(chosen, "\n")))
+    rows = rows.where(F.col("gone").isNull() | F.col("left").rlike(r"[^ \n]"))
+    new = {text: F.col("left"), "n_chars": F.length("left").cast("long")}
+    return rows.select(*[new.get(c, F.col(f"row.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,9 +36,9 @@ FROM d LEFT JOIN g USING (payload_digest)""",
     # the pairs that share a half are compared at their first difference; r holds what each line reaches
     "op8_line_dedup": f"""WITH RECURSIVE ln AS (SELECT doc_id, CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS line_no, unnest(ls) AS line
 FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
-ds AS (SELECT line, length(line) AS n, min(row(doc_id, line_no)) AS place FROM ln WHERE length(line) >= {line_dedup.MIN_CHARS} GROUP BY line),
-k AS (SELECT line, n, 0 AS longer, unnest([row(n, 0, left(line, n // 2)), row(n, 1, right(line, n - n // 2))]) AS key FROM ds
-UNION ALL SELECT line, n, 1, unnest([row(n - 1, 0, left(line, (n - 1) // 2)), row(n - 1, 1, right(line, n - 1 - (n - 1) // 2))]) FROM ds WHERE n > {line_dedup.MIN_CHARS}),
+ds AS (SELECT line, length(line) AS n, min(row(doc_id, line_no)) AS place FROM ln WHERE trim(line) <> '' GROUP BY line),
+k AS (SELECT line, n, 0 AS longer, unnest([row(n, 0, left(line, n // 2)), row(n, 1, right(line, n - n // 2))]) AS key FROM ds WHERE n >= {line_dedup.EDIT_CHARS}
+UNION ALL SELECT line, n, 1, unnest([row(n - 1, 0, left(line, (n - 1) // 2)), row(n - 1, 1, right(line, n - 1 - (n - 1) // 2))]) FROM ds WHERE n > {line_dedup.EDIT_CHARS}),
 p AS (SELECT DISTINCT a.line AS x, b.line AS y, b.longer, a.n FROM k a JOIN k b ON a.key = b.key AND a.longer = 0 AND (b.longer = 1 OR a.line < b.line)),
 f AS (SELECT *, coalesce(list_filter(range(1, n + 1), lambda i: x[i] <> y[i])[1], n + 1) AS i FROM p),
 e AS (SELECT x, y FROM f WHERE substring(x, i + 1 - longer) = substring(y, i + 1)), b AS (SELECT x, y FROM e UNION SELECT y, x FROM e),

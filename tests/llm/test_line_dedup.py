@@ -19,8 +19,8 @@ def one_edit(a: str, b: str) -> bool:
 
 def brute(docs):
     lines = [(d, n, x) for d, t in docs for n, x in enumerate((t or "").split("\n"))]
-    long = sorted({x for _, _, x in lines if len(x) >= L.MIN_CHARS})
-    up = {x: x for x in long}
+    long = sorted({x for _, _, x in lines if len(x) >= L.EDIT_CHARS})
+    up = {x: x for _, _, x in lines if x.strip(" ")}
 
     def find(x):
         while up[x] != x:
@@ -32,9 +32,9 @@ def brute(docs):
             up[find(a)] = find(b)
     first = {}
     for d, n, x in sorted(lines):
-        if len(x) >= L.MIN_CHARS:
+        if x in up:
             first.setdefault(find(x), (d, n))
-    return {(d, n): first[find(x)] if len(x) >= L.MIN_CHARS else (d, n) for d, n, x in lines}
+    return {(d, n): first[find(x)] if x in up else (d, n) for d, n, x in lines}
 
 
 def fixture():
@@ -97,6 +97,16 @@ def test_texts_and_odd_tables(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string, n_chars bigint").withColumn("row_key", F.lit("x"))
     got = L.dedup_lines(df).orderBy("doc_id").collect()
     assert got[0].row_key == "x"
-    assert [(r.doc_id, r.text) for r in got] == [(1, f"{line}\nshort"), (1, f"{line}\nshort"), (3, None), (4, "short\nshort"), (5, "and one of its own that is quite long too")]
+    assert [(r.doc_id, r.text) for r in got] == [(1, f"{line}\nshort"), (1, f"{line}\nshort"), (3, None), (5, "and one of its own that is quite long too")]
     assert L.dedup_lines(df.limit(0)).count() == 0
     assert L.line_classes(df.where("doc_id = 3")).count() == 1
+
+
+def test_repeats_of_any_length_and_clashing_columns(spark):
+    docs = [(1, "Share this page\n\nfirst"), (2, "Share this page\n\nsecond"), (3, "Share this page\n \n\nfirst"), (None, "of no id\nShare this page"), (5, "x" * 100_000 + "\nsecond")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    clash = {c: F.lit(i) for i, c in enumerate(("_text", "_left", "_key", "_gone", "left", "key", "gone", "id", "line", "row"))}
+    got = L.dedup_lines(df.withColumns(clash))
+    rows = {r.doc_id: r.text for r in got.collect()}
+    assert got.columns == ["doc_id", "text", *clash] and [got.first()[c] for c in clash] == list(range(len(clash)))
+    assert rows == {None: "of no id\nShare this page", 1: "\nfirst", 2: "\nsecond", 5: "x" * 100_000}

@@ -46,7 +46,7 @@ def after_line_dedup(docs):
         left = [x for n, x in enumerate(lines) if first[(d, n)] == (d, n)]
         if len(left) == len(lines):
             out.append((d, t))
-        elif "\n".join(left).strip(" "):
+        elif "".join(left).strip(" "):
             out.append((d, "\n".join(left)))
     return out
 
