@@ -8,10 +8,11 @@ rest) and SHA-1 digests of the block and of the payload. Of records with equal p
 a response, by the greatest order key; the others become revisits that refer to its identifier.
 
 Archives are written by Spark's text writer, a record to a line that ends in two CRLFs, gzipped by file, in a folder
-that only Spark needs to reach; they are read back by declared lengths, in a stream.
+that only Spark needs to reach. They are read back by Spark's text reader, as parts that end in two CRLFs, which are put
+together again by declared lengths: no task holds more than a record.
 
-Defined results: a null page has an empty payload. Records of equal order keys and payloads: the one with the greatest
-identifier is the response. A null order key is the smallest. Payloads are kept whole. Empty tables give no records.
+Defined results: a null page has an empty payload. Records of equal order keys and payloads, repeated rows among them: the one with
+the greatest identifier is the response. Identifiers differ even then, as archives are named by the partition that writes them. A null order key is the smallest. Payloads are kept whole. Empty tables give no records.
 A declared length beyond the end of the file raises ValueError, as does an unknown version.
 """
 
@@ -20,11 +21,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,8 +168,10 @@ def mark_revisits(records: DataFrame, slim: DataFrame, min_bytes: int = MIN_BYTE
         .where("n > 1")
         .select("payload_digest", "best")
     )
-    # a payload that a third of all records share is one row on the right; Spark splits such a join by itself
-    joined = records.join(equal, "payload_digest", "left")
+    # a payload that a third of all records share is one row on the right; Spark splits such a join by itself. Small payloads
+    # have no partner: they are dealt out by their identifiers, as very many may be empty.
+    key = F.when(F.col("payload_bytes") >= min_bytes, F.col("payload_digest")).otherwise(F.col("record_id"))
+    joined = records.withColumn("_digest", key).join(equal.withColumnRenamed("payload_digest", "_digest"), "_digest", "left").drop("_digest")
     other = (F.col("type") == "response") & F.col("best").isNotNull() & (F.col("best.record_id") != F.col("record_id"))
     return joined.withColumns({"refers": F.when(other, F.col("best")), "type": F.when(other, F.lit("revisit")).otherwise(F.col("type"))}).drop("best")
 
@@ -212,22 +216,9 @@ def write_warcs(records: DataFrame, path: str, per_file: int = RECORDS_PER_FILE)
     made.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
-def _stream(data: bytes) -> Iterator[bytes]:
-    """The bytes of one or more gzip members, some at a time."""
-    while data:
-        inflate = zlib.decompressobj(31)
-        while not inflate.eof:
-            part = inflate.decompress(data, 1 << 20)
-            data = inflate.unconsumed_tail if not inflate.eof else inflate.unused_data
-            if part:
-                yield part
-            elif not data and not inflate.eof:
-                raise ValueError("a gzip member has no end")
-
-
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of a gzipped WARC file, by declared lengths."""
-    parts, held = _stream(data), bytearray()
+def parse_warc(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of WARC files, given in parts of any size, by declared lengths."""
+    held = bytearray()
 
     def more() -> bool:
         part = next(parts, None)
@@ -265,27 +256,34 @@ def read_warcs(spark: SparkSession, path: str) -> DataFrame:
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0):
-                rows: list[tuple] = []
-                for headers, block in parse_warc(data.as_py()):
-                    if headers["warc-type"] not in ("response", "revisit"):
-                        continue
-                    cut = block.find(b"\r\n\r\n")
-                    head, payload = block[: cut + 4], block[cut + 4 :]
-                    page = _header(head, b"X-Page-Id")
-                    declared = base64.b32decode(headers["warc-payload-digest"].removeprefix("sha1:")).hex()
-                    if headers["warc-type"] == "response":
-                        size, digest = len(payload), hashlib.sha1(payload).hexdigest()
-                        if digest != declared:
-                            raise ValueError(f"the payload of {headers['warc-record-id']} isn't what its digest says")
-                    else:
-                        size, digest = int(_header(head, b"Content-Length") or 0), declared
-                    refers = headers.get("warc-refers-to")
-                    rows.append((int(page) if page else None, headers["warc-record-id"].strip("<>"), headers["warc-type"], size, digest, refers and refers.strip("<>")))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+        def parts() -> Iterator[bytes]:
+            for batch in batches:
+                for value in batch.column(0):
+                    yield value.as_py() + CRLF + CRLF
+
+        def rows() -> Iterator[tuple]:
+            for headers, block in parse_warc(parts()):
+                if headers["warc-type"] not in ("response", "revisit"):
+                    continue
+                cut = block.find(b"\r\n\r\n")
+                head, payload = block[: cut + 4], block[cut + 4 :]
+                page = _header(head, b"X-Page-Id")
+                declared = base64.b32decode(headers["warc-payload-digest"].removeprefix("sha1:")).hex()
+                if headers["warc-type"] == "response":
+                    size, digest = len(payload), hashlib.sha1(payload).hexdigest()
+                    if digest != declared:
+                        raise ValueError(f"the payload of {headers['warc-record-id']} isn't what its digest says")
+                else:
+                    size, digest = int(_header(head, b"Content-Length") or 0), declared
+                refers = headers.get("warc-refers-to")
+                yield int(page) if page else None, headers["warc-record-id"].strip("<>"), headers["warc-type"], size, digest, refers and refers.strip("<>")
+
+        every = rows()
+        while some := list(islice(every, 4096)):
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], t) for i, t in enumerate(types)], names)
+
+    arrow_batches(spark)
+    files = spark.read.option("lineSep", "\r\n\r\n").option("pathGlobFilter", "*.gz").text(path).select(F.col("value").cast("binary").alias("value"))
     return files.mapInArrow(run, "page_id bigint, record_id string, type string, payload_bytes bigint, payload_digest string, refers_id string")
 
 
@@ -298,12 +296,14 @@ def pages_to_arcs(pages: DataFrame, arc_bytes: int = ARC_BYTES, date: str = "202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[str, str, str, str, bytes]] = []
         size, made = 0, 0
+        part = TaskContext.get().partitionId()
 
         def file() -> pa.RecordBatch:
             nonlocal held, size, made
             version = 1 + made % 2
-            # named by what it holds, so a second run gives the same names
-            name = f"pages-{hashlib.md5(b''.join(hashlib.md5(r[0].encode() + r[4]).digest() for r in held)).hexdigest()}-{made}.arc"
+            # named by its place and by what it holds, so a second run gives the same names, and equal rows elsewhere have others
+            what = hashlib.md5(b"".join(hashlib.md5(r[0].encode() + r[4]).digest() for r in held)).hexdigest()
+            name = f"pages-{part}-{what}-{made}.arc"
             data = write_arc(name, version, held)
             held, size, made = [], 0, made + 1
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary())], ["name", "content"])

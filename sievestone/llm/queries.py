@@ -29,10 +29,10 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    # of equal pages one row is the response, whichever
     "op3_arc_convert": f"""WITH d AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
-g AS (SELECT payload_digest, max(page_id) AS best FROM d WHERE payload_bytes >= {arc_convert.MIN_BYTES} GROUP BY ALL)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN best <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN best <> page_id THEN best END AS refers_to
-FROM d LEFT JOIN g USING (payload_digest)""",
+g AS (SELECT *, payload_bytes >= {arc_convert.MIN_BYTES} AND row_number() OVER (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST) > 1 AS again, max(page_id) OVER (PARTITION BY payload_digest) AS best FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN best END AS refers_to FROM g""",
     # the pairs that share a half are compared at their first difference; r holds what each line reaches
     "op8_line_dedup": f"""WITH RECURSIVE ln AS (SELECT doc_id, CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS line_no, unnest(ls) AS line
 FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),

@@ -1,4 +1,3 @@
-import gzip
 import hashlib
 
 import numpy as np
@@ -34,13 +33,13 @@ def test_warc_is_read_by_declared_lengths():
     row = {"type": "response", "record_id": "urn:uuid:1", "date": "2001-01-01T00:00:00Z", "target_uri": "http://h/", "ip": "-", "head": b"HTTP/1.1 200 OK\r\n\r\n", "payload": b"\r\n\r\nWARC/1.1\r\nx\r\n\r\n", "content_type": "t"}
     row |= {"payload_digest": hashlib.sha1(row["payload"]).hexdigest(), "block_digest": hashlib.sha1(row["head"] + row["payload"]).hexdigest(), "refers": None}
     raw = (A._warc(row) + b"\r\n\r\n") * 3
-    for data in (gzip.compress(raw), gzip.compress(raw[:50]) + gzip.compress(raw[50:])):
-        got = list(A.parse_warc(data))
+    for parts in ([raw], [raw[:50], raw[50:]], [p + b"\r\n\r\n" for p in raw.split(b"\r\n\r\n")[:-1]], [raw[i : i + 1] for i in range(len(raw))]):
+        got = list(A.parse_warc(iter(parts)))
         assert len(got) == 3 and all(b == row["head"] + row["payload"] for _, b in got)
     with pytest.raises(ValueError):
-        list(A.parse_warc(gzip.compress(raw[:-30])))
+        list(A.parse_warc(iter([raw[:-30]])))
     with pytest.raises(ValueError):
-        list(A.parse_warc(gzip.compress(raw)[:-12]))
+        list(A.parse_warc(iter([raw + b"tail"])))
 
 
 def test_pages_through_archives(spark, tmp_path):
@@ -90,3 +89,21 @@ def test_counts_equal_brute_force(spark, hf, rule):
         assert [r[4] for r in mine] == want and [r[3] for r in mine] == [len(p) for p in parts]
         assert all(r[5] == len(ids) for r in mine) and [r[2] for r in mine] == np.cumsum([0, *[len(p) for p in parts[:-1]]]).tolist()
     assert C.attribute(df.limit(0), "doc_id", ["text"]).count() == 0
+
+
+def test_a_table_held_twice_equals_its_sql(spark, tmp_path, monkeypatch):
+    """Every page in two files: of equal pages one is the response."""
+    import oracle
+    from conftest import SMALL
+    from oracle import compare
+
+    from sievestone.llm import queries
+
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").coalesce(1)
+    for _ in range(2):
+        pages.write.mode("append").parquet(str(tmp_path / "pages.parquet"))
+    sql = queries.ORACLE_SQL["op3_arc_convert"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")
+    monkeypatch.setattr(oracle, "TABLES", [])
+    assert compare(spark, queries.QUERIES["op3_arc_convert"], sql, str(tmp_path)) == ""
+    got = A.op3_arc_convert(spark, str(tmp_path)).where("payload_bytes >= 1000").groupBy("payload_digest").agg({"record_type": "collect_list"}).collect()
+    assert got and all(sorted(r[1])[0] == "response" and sorted(r[1])[1:] == ["revisit"] * (len(r[1]) - 1) and len(r[1]) > 1 for r in got)
