@@ -21,7 +21,9 @@ and the sets themselves decide.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,31 +37,42 @@ from sievestone.session import arrow_batches, materialize
 RADIUS, WIDTH, SEED = 3, 3, 42
 #: At a similarity of 4/5 fingerprints differ in some 10 of 64 bits, 12 for sets of four and five; 24 are 4 deviations more.
 STAGE_RADIUS, STAGE_WIDTH = 24, 5
-#: Hashes held at once while a long text is read, and links looked at together.
-HASHES, FRONTIER = 1 << 17, 1 << 20
+#: Bytes of a text that are read at once, hashes summed up at once, and links looked at together.
+PIECE, HASHES, FRONTIER = 1 << 20, 1 << 15, 1 << 18
+SPACE = re.compile(rb"[\t-\r ]")
 
 
 def shingle_digests(text: str | None, width: int) -> Iterator[np.ndarray]:
-    """The big-endian bytes of the shingles' hashes, a row each, HASHES rows at a time; nothing for a text without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return
+    """The big-endian bytes of the shingles' hashes, a row each; nothing for a text without words. A long text is read piece by piece."""
+    data, at, held, none = (text or "").encode("utf-8", "surrogatepass").lower(), 0, [], True
+    while at < len(data):
+        gap = SPACE.search(data, at + PIECE)
+        end = gap.start() if gap else len(data)
+        words = held + data[at:end].split()
+        at = end
+        if len(words) >= width:
+            yield _digests(words, width)
+            none = False
+        held = words[max(len(words) - width + 1, 0) :]
+    if none and held:
+        yield _digests(held, len(held))
+
+
+def _digests(words: list[bytes], width: int) -> np.ndarray:
     flat = b" ".join(words)
-    ends = np.cumsum([len(w) for w in words]) + np.arange(len(words))
-    starts = [0, *(ends[:-1] + 1).tolist()]
-    stops = ends[width - 1 :].tolist() or [len(flat)]
-    digest, n = xxhash.xxh64_digest, len(stops)
-    for a in range(0, n, HASHES):
-        b = min(a + HASHES, n)
-        got = b"".join([digest(flat[i:j], SEED) for i, j in zip(starts[a:b], stops[a:b], strict=True)])
-        yield np.frombuffer(got, np.uint8).reshape(-1, 8)
+    ends = list(accumulate([len(w) + 1 for w in words], initial=-1))
+    digest = xxhash.xxh64_digest
+    got = b"".join([digest(flat[i + 1 : j], SEED) for i, j in zip(ends, ends[width:])])
+    return np.frombuffer(got, np.uint8).reshape(-1, 8)
 
 
 def _majority(digests: Iterator[np.ndarray]) -> int:
     sums, n = np.zeros(64, np.int64), 0
-    for rows in digests:
-        sums += np.unpackbits(rows, axis=1).sum(0, dtype=np.int64)
-        n += len(rows)
+    for some in digests:
+        for a in range(0, len(some), HASHES):
+            rows = some[a : a + HASHES]
+            sums += np.unpackbits(rows, axis=1).sum(0, dtype=np.int64)
+            n += len(rows)
     return int.from_bytes(np.packbits(2 * sums > n).tobytes(), "big")
 
 
@@ -77,7 +90,7 @@ def shingle_set(text: str | None, width: int = STAGE_WIDTH) -> np.ndarray:
 def set_fingerprint(hashes: np.ndarray) -> int:
     """The majority over a set: a shingle that is repeated counts once, as it does in the similarity."""
     rows = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
-    return _majority(rows[a : a + HASHES] for a in range(0, len(rows), HASHES))
+    return _majority(iter([rows]))
 
 
 def with_fingerprints(docs: DataFrame, keep: list[str], text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -138,24 +151,28 @@ class Forest:
 
     def neighbours(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Arrays of (point, other) with other before point and at most radius bits apart, some at a time."""
-        todo = [(np.arange(a, min(a + (1 << 15), len(self.points))),) * 2 for a in range(0, len(self.points), 1 << 15)]
-        todo = [(q, self.root[q]) for q, _ in todo]
-        while todo:
-            q, at = todo.pop()
-            if len(q) > FRONTIER:
-                todo += [(q[: len(q) // 2], at[: len(q) // 2]), (q[len(q) // 2 :], at[len(q) // 2 :])]
-                continue
-            d = np.bitwise_count(self.points[q] ^ self.points[at]).astype(np.int64)
-            near = (d <= radius) & (at < q)
-            if near.any():
-                yield q[near], at[near]
-            lo = np.searchsorted(self.keys, at * 65 + np.maximum(d - radius, 0))
-            hi = np.searchsorted(self.keys, at * 65 + np.minimum(d + radius, 64), "right")
-            n = hi - lo
-            if n.sum():
-                q = np.repeat(q, n)
+        for first in range(0, len(self.points), 1 << 15):
+            # what is still to be seen: queries, and where and how many the edges are that each follows; FRONTIER edges at most at a time
+            q = np.arange(first, min(first + (1 << 15), len(self.points)))
+            at, todo = self.root[q], []
+            while True:
+                d = np.bitwise_count(self.points[q] ^ self.points[at]).astype(np.int64)
+                near = (d <= radius) & (at < q)
+                if near.any():
+                    yield q[near], at[near]
+                lo = np.searchsorted(self.keys, at * 65 + np.maximum(d - radius, 0))
+                n = np.searchsorted(self.keys, at * 65 + np.minimum(d + radius, 64), "right") - lo
+                on = np.flatnonzero(n)
+                if len(on):
+                    q, lo, n = q[on], lo[on], n[on]
+                    part = np.cumsum(n) // FRONTIER
+                    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(n)]
+                    todo += [(q[a:b], lo[a:b], n[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                if not todo:
+                    break
+                q, lo, n = todo.pop()
                 kid = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-                todo.append((q, self.kids[kid]))
+                q, at = np.repeat(q, n), self.kids[kid]
 
 
 def _roots(parent: np.ndarray) -> np.ndarray:
@@ -267,22 +284,32 @@ def _prefixes(rows: DataFrame, text: str) -> DataFrame:
     return rows.select("_row", "doc_id", text).mapInArrow(run, f"_row bigint, doc_id {kind}, same bigint, n bigint, fp bigint, prefix array<bigint>")
 
 
-def _candidates(sets: DataFrame) -> DataFrame:
-    """Pairs (u, v) that may be similar, each once. sets: (_row, n, fp, prefix)."""
-    entries = sets.select("_row", "n", "fp", F.posexplode("prefix").alias("at", "key")).select("key", "_row", "n", F.col("at").cast("long").alias("at"), "fp")
-    entries = entries.repartition("key").sortWithinPartitions("key", "_row")
+def _candidates(sets: DataFrame, stars: bool) -> DataFrame:
+    """Pairs (u, v) of different groups that may be similar, each once; of each row in a shard only that with the first one, if stars.
+
+    sets: (_row, n, fp, prefix, group)."""
+    entries = sets.select("_row", "n", "fp", "group", F.posexplode_outer("prefix").alias("at", "key")).where("key is not null")
+    entries = entries.select("key", "_row", "n", F.col("at").cast("long").alias("at"), "fp", "group").repartition("key").sortWithinPartitions("key", "_row")
+
+    def batch(pairs: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_shards(batches, 1):
             new = np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]) if rows.shape[1] else np.zeros(0, bool)
             alone = new & np.concatenate([new[1:], [True]]) if len(new) else new
-            shard, (_, node, n, at, fp) = np.cumsum(new)[~alone], rows[:, ~alone]
+            shard, (_, node, n, at, fp, group) = np.cumsum(new)[~alone], rows[:, ~alone]
+            first = np.arange(len(node))
             for a, b in Forest(shard, fp.view(np.uint64)).neighbours(STAGE_RADIUS):
                 # sizes within 4/5; at the first shingle that both have, what is left of either reaches what they must share
-                near = (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])) & (9 * np.minimum(n[a] - at[a], n[b] - at[b]) >= 4 * (n[a] + n[b]))
-                if near.any():
-                    pairs = np.unique(np.stack([node[b][near], node[a][near]]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
+                near = (group[a] != group[b]) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])) & (9 * np.minimum(n[a] - at[a], n[b] - at[b]) >= 4 * (n[a] + n[b]))
+                if stars:
+                    np.minimum.at(first, a[near], b[near])
+                elif near.any():
+                    yield batch(np.unique(np.stack([node[b][near], node[a][near]]), axis=1))
+            some = np.flatnonzero(first != np.arange(len(node)))
+            if len(some):
+                yield batch(np.unique(np.stack([node[first[some]], node[some]]), axis=1))
 
     return entries.mapInArrow(run, "u bigint, v bigint").distinct()
 
@@ -305,9 +332,14 @@ def near_copies(rows: DataFrame, text: str = "text") -> DataFrame:
     """(_row, doc_id, component) of every row that has copies or near copies. rows: (_row, doc_id, text), written down."""
     prints = materialize(_prefixes(rows, text), "prefixes")
     equal = materialize(prints.groupBy("same").agg(F.min("_row").alias("first"), F.count("*").alias("copies")), "equal-sets")
-    sets = prints.join(equal.select(F.col("first").alias("_row")), "_row", "left_semi")
-    pairs = materialize(_candidates(sets.select("_row", "n", "fp", "prefix")), "candidates")
-    roots = materialize(components(_similar(pairs, rows, text)), "roots")
+    sets = prints.join(equal.select(F.col("first").alias("_row")), "_row", "left_semi").select("_row", "n", "fp", "prefix")
+    # first each text with the first that is like it in a shard; then what may be similar and is not connected yet, so that the
+    # pairs of a large group are never listed
+    links = materialize(_similar(materialize(_candidates(sets.withColumn("group", F.col("_row")), True), "candidates"), rows, text), "links")
+    groups = components(links).select(F.col("node").alias("_row"), F.col("root").alias("group"))
+    grouped = sets.join(groups, "_row", "left").withColumn("group", F.coalesce("group", "_row"))
+    more = _similar(materialize(_candidates(grouped, False), "candidates"), rows, text)
+    roots = materialize(components(links.unionByName(more)), "roots")
     placed = equal.join(roots, equal["first"] == roots.node, "left").where("copies > 1 or root is not null")
     return prints.select("_row", "doc_id", "same").join(placed.select("same", F.coalesce("root", "first").alias("component")), "same").select("_row", "doc_id", "component")
 

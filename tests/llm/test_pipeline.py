@@ -70,7 +70,7 @@ def test_run_equals_brute_force(spark):
     source = {r.doc_id: r.source for r in table.collect()}
     rejected = language_id.predict([t for _, t in docs], language_id.fit(table))[2]
     docs = after_line_dedup([d for d, gone in zip(docs, rejected) if not gone])
-    docs = [d for d, root in zip(docs, test_simhash_dedup.brute_components(docs)) if d[0] == root]
+    docs = [d for d, root in zip(docs, test_simhash_dedup.brute_near(docs)) if d[0] == root]
     leaked = leaks(docs, [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()])
     docs = {d: t for d, t in docs if d not in leaked}
     got = corpus_pipeline.run(spark, sf).toPandas()

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from sievestone.llm import simhash_dedup as S
 from sievestone.llm.components import components
@@ -57,6 +58,21 @@ def brute_components(texts):
         ids = new
 
 
+def brute_near(texts):
+    """The smallest id of each text's component: links at a Jaccard similarity of 4/5 of the sets of five-word shingles."""
+    sets = []
+    for _, t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    ids = [i for i, _ in texts]
+    near = [[j for j in range(len(sets)) if (sets[i] == sets[j]) or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0] for i in range(len(sets))]
+    while True:
+        new = [min(ids[j] for j in near[i]) for i in range(len(ids))]
+        if new == ids:
+            return ids
+        ids = new
+
+
 def fixture():
     rnd = random.Random(7)
     word = lambda: rnd.choice("alpha beta gamma delta eps zeta".split()) + str(rnd.randrange(40))
@@ -145,7 +161,7 @@ def test_stage_keeps_one_of_each_component_of_near_copies(spark):
 def test_stage_finds_the_pairs_that_brute_force_finds(spark):
     texts = near_texts()
     rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "_row bigint, doc_id bigint, text string")
-    pairs = S._candidates(S._prefixes(rows, "text").select("_row", "n", "fp", "prefix"))
+    pairs = S._candidates(S._prefixes(rows, "text").select("_row", "n", "fp", "prefix", F.col("_row").alias("group")), False)
     got = {(min(r.u, r.v), max(r.u, r.v)) for r in S._similar(pairs, rows, "text").collect()}
     want = brute_links(texts)
     assert len(want) > 200 and got == want
@@ -165,3 +181,31 @@ def test_stage_keeps_the_smallest_text_of_an_id(spark):
     rows = [(None, "A " + text, 1), (5, text + " z", 1), (5, text + " b", 3), (5, text + " b", 2), (7, "B " + text, 1)]
     got = S.stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string, n bigint").repartition(3), "").collect()
     assert [tuple(r) for r in got] == [(5, text + " b", 2)]
+
+
+def test_a_large_group_is_linked_without_its_pairs(spark):
+    """Many near copies of one text, and texts that are like their neighbours alone."""
+    import random
+
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(120)]
+    texts = [" ".join([*base[: i % 100], word(), *base[i % 100 + 1 :]]) for i in range(300)]
+    chain = [word() for _ in range(400)]
+    texts += [" ".join(chain[6 * i : 6 * i + 100]) for i in range(40)]
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "_row bigint, doc_id bigint, text string")
+    sets = S._prefixes(rows, "text").select("_row", "n", "fp", "prefix", F.col("_row").alias("group"))
+    assert S._candidates(sets, True).where("u < 300").count() < 20 * 300 < S._candidates(sets, False).where("u < 300").count()
+    got = {r.doc_id: r.component for r in S.near_copies(rows).collect()}
+    assert got == {d: 0 if d < 300 else 300 for d in range(len(texts))}
+    assert [got[d] for d in range(len(texts))] == brute_near(list(enumerate(texts)))
+
+
+def test_long_texts_in_pieces():
+    text = " ".join(f"w{i % 977} \t{i}" for i in range(200_000)) + "\n" + "x" * 3_000_000
+    words = text.encode().split()
+    for width in (1, 3, 5):
+        got = np.concatenate(list(S.shingle_digests(text, width)))
+        want = [xxhash.xxh64_digest(b" ".join(words[i : i + width]), S.SEED) for i in range(len(words) - width + 1)]
+        assert got.tobytes() == b"".join(want)
+    assert len(np.concatenate(list(S.shingle_digests("a b", 3)))) == 1 and not list(S.shingle_digests(" \n", 3))
