@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from sievestone.session import materialize
 
 
+#: Rows of a few numbers each that are broadcast at most.
+BROADCAST_ROWS = 500_000
+
+
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, root): root is the smallest node that is reachable. edges: long columns u, v; loops and repeats are allowed.
 
@@ -40,6 +44,13 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     )
 
 
+def sized(ids: DataFrame, label: str) -> DataFrame:
+    """ids, written down, and broadcast if they are BROADCAST_ROWS or fewer: the other side of a join, such as whole texts, then stays
+    where it is. Beyond that the join shuffles."""
+    found = materialize(ids, label)
+    return F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+
+
 def _mark(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0)).alias("h")).first()
     return row.n, int(row.h)

@@ -27,6 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievestone.llm.components import sized
 from sievestone.session import materialize
 
 WIDTH, RUN, LEAST, SHORTEST, LITERALS = 8, 13, 4, 3, 3
@@ -260,5 +261,5 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a leak. Rows that share an id, or have none, are judged by their own texts."""
     found = _leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "doc_id", "text").select(F.col("doc_id").alias("_leak"), F.col("text_hash").alias("_hash")).distinct()
-    leaks = materialize(found, "leaking")
+    leaks = sized(found, "leaking")
     return docs.join(leaks, docs.doc_id.eqNullSafe(leaks["_leak"]) & (F.xxhash64(docs.text) == leaks["_hash"]), "left_anti")

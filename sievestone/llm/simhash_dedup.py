@@ -31,12 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievestone.llm.components import components
+from sievestone.llm.components import components, sized
 from sievestone.session import arrow_batches, materialize
 
 RADIUS, WIDTH, SEED = 3, 3, 42
 #: At a similarity of 4/5 fingerprints differ in some 10 of 64 bits, 12 for sets of four and five; 24 are 4 deviations more.
-STAGE_RADIUS, STAGE_WIDTH = 24, 5
+STAGE_RADIUS, STAGE_WIDTH, STARS = 24, 5, 4
 #: Bytes of a text that are read at once, hashes summed up at once, and links looked at together.
 PIECE, HASHES, FRONTIER = 1 << 20, 1 << 15, 1 << 18
 SPACE = re.compile(rb"[\t-\r ]")
@@ -322,7 +322,7 @@ def _similar(pairs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
             sets = [shingle_set(t).view(np.int64) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(sets, pa.list_(pa.int64()))], ["_row", "hs"])
 
-    some = pairs.select(F.explode(F.array("u", "v")).alias("_row")).distinct()
+    some = sized(pairs.select(F.explode(F.array("u", "v")).alias("_row")).distinct(), "paired")
     sets = materialize(rows.select("_row", text).join(some, "_row", "left_semi").mapInArrow(run, "_row bigint, hs array<bigint>"), "sets")
     both = pairs.join(sets.select(F.col("_row").alias("u"), F.col("hs").alias("a")), "u").join(sets.select(F.col("_row").alias("v"), F.col("hs").alias("b")), "v")
     return both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
@@ -333,9 +333,10 @@ def near_copies(rows: DataFrame, text: str = "text") -> DataFrame:
     prints = materialize(_prefixes(rows, text), "prefixes")
     equal = materialize(prints.groupBy("same").agg(F.min("_row").alias("first"), F.count("*").alias("copies")), "equal-sets")
     sets = prints.join(equal.select(F.col("first").alias("_row")), "_row", "left_semi").select("_row", "n", "fp", "prefix")
-    # first each text with the first that is like it in a shard; then what may be similar and is not connected yet, so that the
-    # pairs of a large group are never listed
-    links = materialize(_similar(materialize(_candidates(sets.withColumn("group", F.col("_row")), True), "candidates"), rows, text), "links")
+    # first each text with the first that is like it in the shards of its STARS smallest shingles; then, in all shards, what may be
+    # similar and is not connected yet, so that the pairs of a large group are never listed
+    few = sets.withColumns({"prefix": F.slice("prefix", 1, STARS), "group": F.col("_row")})
+    links = materialize(_similar(materialize(_candidates(few, True), "candidates"), rows, text), "links")
     groups = components(links).select(F.col("node").alias("_row"), F.col("root").alias("group"))
     grouped = sets.join(groups, "_row", "left").withColumn("group", F.coalesce("group", "_row"))
     more = _similar(materialize(_candidates(grouped, False), "candidates"), rows, text)
@@ -354,9 +355,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tied = found.join(least, "component").where(place == F.col("least")).select("component", "_row")
     # texts are read only where an id does not tell a component's rows apart
     ties = tied.groupBy("component").agg(F.min("_row").alias("_row"), F.count("*").alias("n"))
-    open_ = tied.join(ties.where("n > 1").select("component"), "component")
+    open_ = sized(tied.join(ties.where("n > 1").select("component"), "component"), "ties")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     read = rows.join(open_, "_row").groupBy("component").agg(F.min(F.struct("text", *[c.alias(f"c{i}") for i, c in enumerate(columns)], "_row")).alias("first"))
     kept = ties.where("n = 1").select("_row").unionByName(read.select("first._row"))
-    gone = found.join(kept, "_row", "left_anti").select("_row")
+    gone = sized(found.join(kept, "_row", "left_anti").select("_row"), "gone")
     return rows.join(gone, "_row", "left_anti").select(*columns)
