@@ -19,6 +19,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -90,10 +91,17 @@ def parse(page: str) -> tuple[list[int], list[int], list[list[int]], list[str |
     """(parent, kind, features, text) of each node, parents first; text of leaves only, white space made single."""
     parent, kind, feats, text = [-1], [ELEMENT], [[]], [None]
     stack: list[tuple[int, str]] = [(0, "")]
+    open_tags: Counter[str] = Counter()  # of the stack: a stray closing tag need not search it
     parts: list[str] = []
     in_link, linked = 0, 0
     tag_of = [len(TAGS)]
 
+    def close(k: int) -> None:
+        """The stack down to its first k elements."""
+        for _, t in stack[k:]:
+            open_tags[t] -= 1
+        del stack[k:]
+
     def flush() -> None:
         nonlocal linked
         if parts:
@@ -136,9 +144,9 @@ def parse(page: str) -> tuple[list[int], list[int], list[list[int]], list[str |
             continue
         flush()
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_tags[tag] else ():
                 if stack[k][1] == tag:
-                    del stack[k:]
+                    close(k)
                     in_link = 0
                     break
                 if tag in ("p", "li") and stack[k][1] in HOLDS:
@@ -147,12 +155,12 @@ def parse(page: str) -> tuple[list[int], list[int], list[list[int]], list[str |
         if tag in VOID:
             continue
         if stack[-1][1] == "p":
-            stack.pop()
+            close(len(stack) - 1)
         ends = CLOSES.get(tag)
-        if ends:
+        if ends and any(open_tags[t] for t in ends):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][1] in ends:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k][1] in HOLDS and stack[k][1] not in ends:
                     break
@@ -170,6 +178,7 @@ def parse(page: str) -> tuple[list[int], list[int], list[list[int]], list[str |
         text.append(None)
         tag_of.append(number)
         stack.append((len(parent) - 1, tag))
+        open_tags[tag] += 1
     if at < len(page):
         raw = html.unescape(page[at:])
         parts.append(raw)
