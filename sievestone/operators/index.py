@@ -14,7 +14,8 @@ from sievestone.functions.text import tokens
 
 def token_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lowercase: bool = True) -> DataFrame:
     """(doc_id, pos, word) of every token."""
-    return docs.select(doc_id, F.posexplode(tokens(F.col(text), lowercase)).alias("pos", "word"))
+    # outer, as the optimizer would else filter by the number of tokens, and so match the pattern twice over every text
+    return docs.select(doc_id, F.posexplode_outer(tokens(F.col(text), lowercase)).alias("pos", "word")).where("word is not null")
 
 
 def term_frequency(words: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -121,7 +122,7 @@ class BM25Index:
 def postings_and_lengths(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, word, tf) and (doc_id, doc_len). words: a column of token arrays to use instead of the text."""
     got = docs.select(F.col(doc_id).alias("doc_id"), (F.col(words) if words else tokens(F.col(text))).alias("ws"))
-    return term_frequency(got.select("doc_id", F.explode("ws").alias("word"))), got.select("doc_id", F.size("ws").cast("bigint").alias("doc_len"))
+    return term_frequency(got.select("doc_id", F.explode_outer("ws").alias("word")).where("word is not null")), got.select("doc_id", F.size("ws").cast("bigint").alias("doc_len"))
 
 
 def index_of(postings: DataFrame, doc_len: DataFrame, params: BM25Params = BM25Params()) -> BM25Index:
@@ -169,7 +170,7 @@ def containing(docs: DataFrame, items: DataFrame, query_id: str = "query_id", do
     ws = tokens(F.col("_item"))
     stated = items.select(query_id, F.col(text).alias("_item")).where("_item is not null").withColumn("_inner", F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 2, F.lit(0))))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
-    postings = rows.select("doc_id", F.explode(F.array_distinct(tokens(F.col("_text")))).alias("word"))
+    postings = rows.select("doc_id", F.explode_outer(F.array_distinct(tokens(F.col("_text")))).alias("word")).where("word is not null")
     inner = stated.select(query_id, F.explode(F.array_distinct("_inner")).alias("word"))
     found = postings.join(inner.select("word").distinct(), "word")
     df = found.groupBy("word").agg(F.count("*").alias("df"))

@@ -31,7 +31,7 @@ def turns_to_qa(conversations: DataFrame) -> DataFrame:
 
 def candidates(qa: DataFrame) -> DataFrame:
     """(qid, sent_no, question, sentence): the passage's sentences with their own numbers."""
-    return qa.select("qid", "question", F.posexplode(sentences(F.col("passage"))).alias("sent_no", "sentence"))
+    return qa.select("qid", "question", F.posexplode_outer(sentences(F.col("passage"))).alias("sent_no", "sentence")).where("sentence is not null")
 
 
 def label_candidates(rows: DataFrame, answers: DataFrame, relevant: int = 3) -> DataFrame:
