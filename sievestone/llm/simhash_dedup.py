@@ -16,7 +16,7 @@ the smallest non-null one. Columns that the operator adds replace columns of the
 RADIUS and WIDTH are the query's. The pipeline's stage links texts whose sets of STAGE_WIDTH-word shingles have a Jaccard
 similarity of 4/5 or more. Of two such sets one shingle at least is among the smallest fifth of both, so texts meet in
 the shards of these (prefix filter, exact); a shard's trees give candidates at STAGE_RADIUS bits, between fingerprints of the sets,
-and the sets themselves decide.
+a second fingerprint leaves those at BOTH_RADIUS bits of both, and the sets themselves decide.
 """
 
 from __future__ import annotations
@@ -32,11 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievestone.llm.components import components, sized
+from sievestone.llm.text import mix
 from sievestone.session import arrow_batches, materialize
 
 RADIUS, WIDTH, SEED = 3, 3, 42
-#: At a similarity of 4/5 fingerprints differ in some 10 of 64 bits, 12 for sets of four and five; 24 are 4 deviations more.
-STAGE_RADIUS, STAGE_WIDTH, STARS = 24, 5, 4
+#: At a similarity of 4/5 fingerprints differ in some 10 of 64 bits, 12 for sets of four and five; 24 are 4 deviations more. Two
+#: fingerprints together differ in some 19 of 128 bits, 24 for such sets; 40 are 5 deviations more than 19.
+STAGE_RADIUS, BOTH_RADIUS, STAGE_WIDTH, STARS = 24, 40, 5, 4
 #: Bytes of a text that are read at once, hashes summed up at once, and links looked at together.
 PIECE, HASHES, FRONTIER = 1 << 20, 1 << 15, 1 << 18
 SPACE = re.compile(rb"[\t-\r ]")
@@ -93,6 +95,11 @@ def set_fingerprint(hashes: np.ndarray) -> int:
     return _majority(iter([rows]))
 
 
+def second_fingerprint(hashes: np.ndarray) -> int:
+    """set_fingerprint() of other hashes of the same shingles."""
+    return set_fingerprint(mix(mix(hashes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))))
+
+
 def with_fingerprints(docs: DataFrame, keep: list[str], text: str = "text", width: int = WIDTH) -> DataFrame:
     """keep and fp (the fingerprint as a signed long); one pass, no shuffle."""
     keep = [c for c in keep if c != "fp"]
@@ -263,33 +270,35 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _prefixes(rows: DataFrame, text: str) -> DataFrame:
-    """(_row, doc_id, same, n, fp, prefix): equal sets have equal `same`; n: shingles; prefix: the smallest of them, as longs."""
+    """(_row, doc_id, same, n, fp, fp2, prefix): equal sets have equal `same`; n: shingles; prefix: the smallest of them, as longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same, sizes, fps, prefix = [], [], [], []
+            same, sizes, fps, others, prefix = [], [], [], [], []
             for t in batch.column(text).to_pylist():
                 hashes = shingle_set(t)
                 n = len(hashes)
                 same.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
                 sizes.append(n)
                 fps.append(set_fingerprint(hashes))
+                others.append(second_fingerprint(hashes))
                 # a partner shares (4n + 4) // 5 of them or more, and so one of these
                 prefix.append(hashes[: n - (4 * n + 4) // 5 + 1].view(np.int64) if n else np.zeros(0, np.int64))
-            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (same, sizes, fps)]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), *longs, pa.array(prefix, pa.list_(pa.int64()))], ["_row", "doc_id", "same", "n", "fp", "prefix"])
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (same, sizes, fps, others)]
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), *longs, pa.array(prefix, pa.list_(pa.int64()))], ["_row", "doc_id", "same", "n", "fp", "fp2", "prefix"])
 
     arrow_batches(rows.sparkSession)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("_row", "doc_id", text).mapInArrow(run, f"_row bigint, doc_id {kind}, same bigint, n bigint, fp bigint, prefix array<bigint>")
+    return rows.select("_row", "doc_id", text).mapInArrow(run, f"_row bigint, doc_id {kind}, same bigint, n bigint, fp bigint, fp2 bigint, prefix array<bigint>")
 
 
 def _candidates(sets: DataFrame, stars: bool) -> DataFrame:
     """Pairs (u, v) of different groups that may be similar, each once; of each row in a shard only that with the first one, if stars.
 
-    sets: (_row, n, fp, prefix, group)."""
-    entries = sets.select("_row", "n", "fp", "group", F.posexplode_outer("prefix").alias("at", "key")).where("key is not null")
-    entries = entries.select("key", "_row", "n", F.col("at").cast("long").alias("at"), "fp", "group").repartition("key").sortWithinPartitions("key", "_row")
+    sets: (_row, n, fp, fp2, prefix, group)."""
+    entries = sets.select("_row", "n", "fp", "fp2", "group", F.posexplode_outer("prefix").alias("at", "key")).where("key is not null")
+    # two counts in one number: shards hold one row for each shingle of a prefix
+    entries = entries.select("key", "_row", F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("at").cast("long")).alias("size"), "fp", "fp2", "group").repartition("key").sortWithinPartitions("key", "_row")
 
     def batch(pairs: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
@@ -298,11 +307,14 @@ def _candidates(sets: DataFrame, stars: bool) -> DataFrame:
         for rows in _whole_shards(batches, 1):
             new = np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]) if rows.shape[1] else np.zeros(0, bool)
             alone = new & np.concatenate([new[1:], [True]]) if len(new) else new
-            shard, (_, node, n, at, fp, group) = np.cumsum(new)[~alone], rows[:, ~alone]
+            shard, (_, node, size, fp, fp2, group) = np.cumsum(new)[~alone], rows[:, ~alone]
+            n, at, fp, fp2 = size >> 32, size & 0xFFFFFFFF, fp.view(np.uint64), fp2.view(np.uint64)
             first = np.arange(len(node))
-            for a, b in Forest(shard, fp.view(np.uint64)).neighbours(STAGE_RADIUS):
+            for a, b in Forest(shard, fp).neighbours(STAGE_RADIUS):
                 # sizes within 4/5; at the first shingle that both have, what is left of either reaches what they must share
-                near = (group[a] != group[b]) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])) & (9 * np.minimum(n[a] - at[a], n[b] - at[b]) >= 4 * (n[a] + n[b]))
+                near = (group[a] != group[b]) & (np.bitwise_count(fp[a] ^ fp[b]).astype(int) + np.bitwise_count(fp2[a] ^ fp2[b]) <= BOTH_RADIUS)
+                near &= (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
+                near &= (9 * np.minimum(n[a] - at[a], n[b] - at[b]) >= 4 * (n[a] + n[b]))
                 if stars:
                     np.minimum.at(first, a[near], b[near])
                 elif near.any():
@@ -332,7 +344,7 @@ def near_copies(rows: DataFrame, text: str = "text") -> DataFrame:
     """(_row, doc_id, component) of every row that has copies or near copies. rows: (_row, doc_id, text), written down."""
     prints = materialize(_prefixes(rows, text), "prefixes")
     equal = materialize(prints.groupBy("same").agg(F.min("_row").alias("first"), F.count("*").alias("copies")), "equal-sets")
-    sets = prints.join(equal.select(F.col("first").alias("_row")), "_row", "left_semi").select("_row", "n", "fp", "prefix")
+    sets = prints.join(equal.select(F.col("first").alias("_row")), "_row", "left_semi").select("_row", "n", "fp", "fp2", "prefix")
     # first each text with the first that is like it in the shards of its STARS smallest shingles; then, in all shards, what may be
     # similar and is not connected yet, so that the pairs of a large group are never listed
     few = sets.withColumns({"prefix": F.slice("prefix", 1, STARS), "group": F.col("_row")})

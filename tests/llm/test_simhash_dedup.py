@@ -161,7 +161,7 @@ def test_stage_keeps_one_of_each_component_of_near_copies(spark):
 def test_stage_finds_the_pairs_that_brute_force_finds(spark):
     texts = near_texts()
     rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "_row bigint, doc_id bigint, text string")
-    pairs = S._candidates(S._prefixes(rows, "text").select("_row", "n", "fp", "prefix", F.col("_row").alias("group")), False)
+    pairs = S._candidates(S._prefixes(rows, "text").select("_row", "n", "fp", "fp2", "prefix", F.col("_row").alias("group")), False)
     got = {(min(r.u, r.v), max(r.u, r.v)) for r in S._similar(pairs, rows, "text").collect()}
     want = brute_links(texts)
     assert len(want) > 200 and got == want
@@ -194,7 +194,7 @@ def test_a_large_group_is_linked_without_its_pairs(spark):
     chain = [word() for _ in range(400)]
     texts += [" ".join(chain[6 * i : 6 * i + 100]) for i in range(40)]
     rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "_row bigint, doc_id bigint, text string")
-    sets = S._prefixes(rows, "text").select("_row", "n", "fp", "prefix", F.col("_row").alias("group"))
+    sets = S._prefixes(rows, "text").select("_row", "n", "fp", "fp2", "prefix", F.col("_row").alias("group"))
     assert S._candidates(sets, True).where("u < 300").count() < 20 * 300 < S._candidates(sets, False).where("u < 300").count()
     got = {r.doc_id: r.component for r in S.near_copies(rows).collect()}
     assert got == {d: 0 if d < 300 else 300 for d in range(len(texts))}
