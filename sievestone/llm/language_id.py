@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievestone.llm.text import gram_streams, grams
+from sievestone.llm.text import give_back, gram_streams, grams
 from sievestone.session import arrow_batches
 
 ORDERS = (2, 3, 4)
@@ -207,6 +207,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             arrays = [batch.column(c) for c in kept if c not in added]
             names = [c for c in kept if c not in added]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected)], [*names, *added])
+        give_back()
 
     arrow_batches(docs.sparkSession)
     return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(score, schema)

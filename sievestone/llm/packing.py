@@ -31,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sievestone.llm.text import give_back
 from sievestone.session import arrow_batches, materialize
 
 WINDOW, BLOCK, LANE_TOKENS, MOST_LANES, END = 1024, 256, 1 << 20, 100_000, 0
 #: Pieces of text whose ids a worker keeps, some 150 bytes each.
-CACHED = 500_000
+CACHED = 100_000
 #: The tokenizer's pattern for texts of Latin letters, its classes spelled out.
 LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
 PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
@@ -102,6 +103,7 @@ def pieces(docs: DataFrame, keep: list[str], text: str = "text", source: str = "
             some = batch.take(pa.array(rows, pa.int64())) if rows else batch.slice(0, 0)
             columns = [*(some.column(c) for c in keep), some.column("row_key"), some.column("queue"), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
             yield pa.RecordBatch.from_arrays(columns, [*keep, *own])
+        give_back()
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     # a null source gets a name that no quoted source has

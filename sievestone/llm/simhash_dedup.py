@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievestone.llm.components import components, sized
-from sievestone.llm.text import mix
+from sievestone.llm.text import give_back, mix
 from sievestone.session import arrow_batches, materialize
 
 RADIUS, WIDTH, SEED = 3, 3, 42
@@ -108,6 +108,7 @@ def with_fingerprints(docs: DataFrame, keep: list[str], text: str = "text", widt
         for batch in batches:
             fps = np.array([fingerprint(t, width) for t in batch.column(text).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fps.view(np.int64))], [*keep, "fp"])
+        give_back()
 
     arrow_batches(docs.sparkSession)
     schema = ", ".join(f"`{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}" for c in keep)
@@ -241,6 +242,7 @@ def link_fingerprints(distinct: DataFrame, n: int, radius: int = RADIUS) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_shards(batches, 2):
             yield edges(rows)
+        give_back()
 
     def edges(rows: np.ndarray) -> pa.RecordBatch:
         new = np.concatenate([[True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])]) if rows.shape[1] else np.zeros(0, bool)
@@ -286,6 +288,7 @@ def _prefixes(rows: DataFrame, text: str) -> DataFrame:
                 prefix.append(hashes[: n - (4 * n + 4) // 5 + 1].view(np.int64) if n else np.zeros(0, np.int64))
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (same, sizes, fps, others)]
             yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), *longs, pa.array(prefix, pa.list_(pa.int64()))], ["_row", "doc_id", "same", "n", "fp", "fp2", "prefix"])
+        give_back()
 
     arrow_batches(rows.sparkSession)
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -322,6 +325,7 @@ def _candidates(sets: DataFrame, stars: bool) -> DataFrame:
             some = np.flatnonzero(first != np.arange(len(node)))
             if len(some):
                 yield batch(np.unique(np.stack([node[first[some]], node[some]]), axis=1))
+        give_back()
 
     return entries.mapInArrow(run, "u bigint, v bigint").distinct()
 
@@ -333,6 +337,7 @@ def _similar(pairs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
         for batch in batches:
             sets = [shingle_set(t).view(np.int64) for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(sets, pa.list_(pa.int64()))], ["_row", "hs"])
+        give_back()
 
     some = sized(pairs.select(F.explode(F.array("u", "v")).alias("_row")).distinct(), "paired")
     sets = materialize(rows.select("_row", text).join(some, "_row", "left_semi").mapInArrow(run, "_row bigint, hs array<bigint>"), "sets")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Code points that are worked on at once; bounds the memory of a task whatever the length of a text.
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 
 _letters: np.ndarray | None = None
 
@@ -20,6 +22,14 @@ def letter_table() -> np.ndarray:
     return _letters
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a partition: a worker process lives on, idle, while later stages run."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
