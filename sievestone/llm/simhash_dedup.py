@@ -38,7 +38,9 @@ from sievestone.session import arrow_batches, materialize
 RADIUS, WIDTH, SEED = 3, 3, 42
 #: At a similarity of 4/5 fingerprints differ in some 10 of 64 bits, 12 for sets of four and five; 24 are 4 deviations more. Two
 #: fingerprints together differ in some 19 of 128 bits, 24 for such sets; 40 are 5 deviations more than 19.
-STAGE_RADIUS, BOTH_RADIUS, STAGE_WIDTH, STARS = 24, 40, 5, 4
+STAGE_RADIUS, BOTH_RADIUS, STAGE_WIDTH, STARS, ROUNDS = 24, 40, 5, 4, 2
+#: Of a row without a near one.
+NONE = np.iinfo(np.int64).max
 #: Bytes of a text that are read at once, hashes summed up at once, and links looked at together.
 PIECE, HASHES, FRONTIER = 1 << 20, 1 << 15, 1 << 18
 SPACE = re.compile(rb"[\t-\r ]")
@@ -295,13 +297,20 @@ def _prefixes(rows: DataFrame, text: str) -> DataFrame:
     return rows.select("_row", "doc_id", text).mapInArrow(run, f"_row bigint, doc_id {kind}, same bigint, n bigint, fp bigint, fp2 bigint, prefix array<bigint>")
 
 
+def _pairs(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Each pair once, the smaller number first."""
+    return np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
+
+
 def _candidates(sets: DataFrame, stars: bool) -> DataFrame:
-    """Pairs (u, v) of different groups that may be similar, each once; of each row in a shard only that with the first one, if stars.
+    """Pairs (u, v) of different groups that may be similar, each once; if stars, of each row in a shard only that with the first one,
+    in an order of the shard's own, and that with the nearest one.
 
     sets: (_row, n, fp, fp2, prefix, group)."""
     entries = sets.select("_row", "n", "fp", "fp2", "group", F.posexplode_outer("prefix").alias("at", "key")).where("key is not null")
     # two counts in one number: shards hold one row for each shingle of a prefix
-    entries = entries.select("key", "_row", F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("at").cast("long")).alias("size"), "fp", "fp2", "group").repartition("key").sortWithinPartitions("key", "_row")
+    entries = entries.select("key", "_row", F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("at").cast("long")).alias("size"), "fp", "fp2", "group")
+    entries = entries.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "_row") if stars else "_row")
 
     def batch(pairs: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
@@ -312,19 +321,24 @@ def _candidates(sets: DataFrame, stars: bool) -> DataFrame:
             alone = new & np.concatenate([new[1:], [True]]) if len(new) else new
             shard, (_, node, size, fp, fp2, group) = np.cumsum(new)[~alone], rows[:, ~alone]
             n, at, fp, fp2 = size >> 32, size & 0xFFFFFFFF, fp.view(np.uint64), fp2.view(np.uint64)
-            first = np.arange(len(node))
+            first, nearest = np.arange(len(node)), np.full(len(node), NONE)
             for a, b in Forest(shard, fp).neighbours(STAGE_RADIUS):
                 # sizes within 4/5; at the first shingle that both have, what is left of either reaches what they must share
-                near = (group[a] != group[b]) & (np.bitwise_count(fp[a] ^ fp[b]).astype(int) + np.bitwise_count(fp2[a] ^ fp2[b]) <= BOTH_RADIUS)
+                bits = np.bitwise_count(fp[a] ^ fp[b]).astype(int) + np.bitwise_count(fp2[a] ^ fp2[b])
+                near = (group[a] != group[b]) & (bits <= BOTH_RADIUS)
                 near &= (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
                 near &= (9 * np.minimum(n[a] - at[a], n[b] - at[b]) >= 4 * (n[a] + n[b]))
                 if stars:
-                    np.minimum.at(first, a[near], b[near])
+                    a, b, bits = a[near], b[near], bits[near] << 32
+                    np.minimum.at(first, a, b)
+                    np.minimum.at(nearest, a, bits | b)
+                    np.minimum.at(nearest, b, bits | a)
                 elif near.any():
-                    yield batch(np.unique(np.stack([node[b][near], node[a][near]]), axis=1))
-            some = np.flatnonzero(first != np.arange(len(node)))
-            if len(some):
-                yield batch(np.unique(np.stack([node[first[some]], node[some]]), axis=1))
+                    yield batch(_pairs(node[b][near], node[a][near]))
+            some, other = np.flatnonzero(first != np.arange(len(node))), np.flatnonzero(nearest != NONE)
+            if len(other):
+                ends = np.concatenate([first[some], nearest[other] & 0xFFFFFFFF])
+                yield batch(_pairs(node[ends], node[np.concatenate([some, other])]))
         give_back()
 
     return entries.mapInArrow(run, "u bigint, v bigint").distinct()
@@ -350,12 +364,17 @@ def near_copies(rows: DataFrame, text: str = "text") -> DataFrame:
     prints = materialize(_prefixes(rows, text), "prefixes")
     equal = materialize(prints.groupBy("same").agg(F.min("_row").alias("first"), F.count("*").alias("copies")), "equal-sets")
     sets = prints.join(equal.select(F.col("first").alias("_row")), "_row", "left_semi").select("_row", "n", "fp", "fp2", "prefix")
-    # first each text with the first that is like it in the shards of its STARS smallest shingles; then, in all shards, what may be
-    # similar and is not connected yet, so that the pairs of a large group are never listed
-    few = sets.withColumns({"prefix": F.slice("prefix", 1, STARS), "group": F.col("_row")})
-    links = materialize(_similar(materialize(_candidates(few, True), "candidates"), rows, text), "links")
-    groups = components(links).select(F.col("node").alias("_row"), F.col("root").alias("group"))
-    grouped = sets.join(groups, "_row", "left").withColumn("group", F.coalesce("group", "_row"))
+    # first, by rounds, each text with the first one and the nearest one that may be like it in the shards of STARS of its shingles, the
+    # next ones in each round; then, in all shards, what may be similar and is not connected yet, so that the pairs of a large group
+    # are never listed
+    grouped = sets.withColumn("group", F.col("_row"))
+    links = None
+    for i in range(ROUNDS):
+        few = grouped.withColumn("prefix", F.slice("prefix", 1 + i * STARS, STARS))
+        found = materialize(_similar(materialize(_candidates(few, True), "candidates"), rows, text), "links")
+        links = found if links is None else links.unionByName(found)
+        groups = materialize(components(links).select(F.col("node").alias("_row"), F.col("root").alias("group")), "groups")
+        grouped = sets.join(groups, "_row", "left").withColumn("group", F.coalesce("group", "_row"))
     more = _similar(materialize(_candidates(grouped, False), "candidates"), rows, text)
     roots = materialize(components(links.unionByName(more)), "roots")
     placed = equal.join(roots, equal["first"] == roots.node, "left").where("copies > 1 or root is not null")
