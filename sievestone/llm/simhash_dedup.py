@@ -16,7 +16,8 @@ the smallest non-null one. Columns that the operator adds replace columns of the
 RADIUS and WIDTH are the query's. The pipeline's stage links texts whose sets of STAGE_WIDTH-word shingles have a Jaccard
 similarity of 4/5 or more. Of two such sets one shingle at least is among the smallest fifth of both, so texts meet in
 the shards of these (prefix filter, exact); a shard's trees give candidates at STAGE_RADIUS bits, between fingerprints of the sets,
-a second fingerprint leaves those at BOTH_RADIUS bits of both, and the sets themselves decide.
+and a second fingerprint leaves those at BOTH_RADIUS bits of both. Candidates are kept as forests, never as pairs; what they connect
+is a cluster, whose texts' sets are compared with each other, block by block, and the sets alone decide.
 """
 
 from __future__ import annotations
@@ -38,9 +39,11 @@ from sievestone.session import arrow_batches, materialize
 RADIUS, WIDTH, SEED = 3, 3, 42
 #: At a similarity of 4/5 fingerprints differ in some 10 of 64 bits, 12 for sets of four and five; 24 are 4 deviations more. Two
 #: fingerprints together differ in some 19 of 128 bits, 24 for such sets; 40 are 5 deviations more than 19.
-STAGE_RADIUS, BOTH_RADIUS, STAGE_WIDTH, STARS = 24, 40, 5, 4
+STAGE_RADIUS, BOTH_RADIUS, STAGE_WIDTH = 24, 40, 5
 #: Bytes of a text that are read at once, hashes summed up at once, and links looked at together.
 PIECE, HASHES, FRONTIER = 1 << 20, 1 << 15, 1 << 18
+#: Hashes of a block of a cluster; texts, hashes and columns that are compared at once.
+BLOCK, TILE, TILE_HASHES, COLUMNS = 1 << 20, 512, 1 << 17, 1 << 12
 SPACE = re.compile(rb"[\t-\r ]")
 
 
@@ -191,19 +194,23 @@ def _roots(parent: np.ndarray) -> np.ndarray:
         parent = up
 
 
+def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """parent with the links a, b taken in; a component's root is its first point."""
+    while True:
+        parent = _roots(parent)
+        x, y = parent[a], parent[b]
+        apart = x != y
+        if not apart.any():
+            return parent
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+
+
 def spanning_edges(shard: np.ndarray, points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(point, representative) for every point whose component within its shard holds an earlier one."""
     parent = np.arange(len(points))
     for a, b in Forest(shard, points).neighbours(radius):
-        while True:
-            parent = _roots(parent)
-            x, y = parent[a], parent[b]
-            apart = x != y
-            if not apart.any():
-                break
-            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
-    parent = _roots(parent)
+        parent = _unite(parent, a, b)
     moved = np.flatnonzero(parent != np.arange(len(points)))
     return points[moved], points[parent[moved]]
 
@@ -295,54 +302,144 @@ def _prefixes(rows: DataFrame, text: str) -> DataFrame:
     return rows.select("_row", "doc_id", text).mapInArrow(run, f"_row bigint, doc_id {kind}, same bigint, n bigint, fp bigint, fp2 bigint, prefix array<bigint>")
 
 
-def _candidates(sets: DataFrame, stars: bool) -> DataFrame:
-    """Pairs (u, v) of different groups that may be similar, each once; of each row in a shard only that with the first one, if stars.
-
-    sets: (_row, n, fp, fp2, prefix, group)."""
-    entries = sets.select("_row", "n", "fp", "fp2", "group", F.posexplode_outer("prefix").alias("at", "key")).where("key is not null")
+def _candidates(sets: DataFrame) -> DataFrame:
+    """Links (u, v) that connect all that may be similar: a forest of each shard. sets: (_row, n, fp, fp2, prefix)."""
+    entries = sets.select("_row", "n", "fp", "fp2", F.posexplode_outer("prefix").alias("at", "key")).where("key is not null")
     # two counts in one number: shards hold one row for each shingle of a prefix
-    entries = entries.select("key", "_row", F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("at").cast("long")).alias("size"), "fp", "fp2", "group").repartition("key").sortWithinPartitions("key", "_row")
-
-    def batch(pairs: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
+    entries = entries.select("key", "_row", F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("at").cast("long")).alias("size"), "fp", "fp2").repartition("key").sortWithinPartitions("key", "_row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_shards(batches, 1):
             new = np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]) if rows.shape[1] else np.zeros(0, bool)
             alone = new & np.concatenate([new[1:], [True]]) if len(new) else new
-            shard, (_, node, size, fp, fp2, group) = np.cumsum(new)[~alone], rows[:, ~alone]
+            shard, (_, node, size, fp, fp2) = np.cumsum(new)[~alone], rows[:, ~alone]
             n, at, fp, fp2 = size >> 32, size & 0xFFFFFFFF, fp.view(np.uint64), fp2.view(np.uint64)
-            first = np.arange(len(node))
+            parent = np.arange(len(node))
             for a, b in Forest(shard, fp).neighbours(STAGE_RADIUS):
                 # sizes within 4/5; at the first shingle that both have, what is left of either reaches what they must share
-                near = (group[a] != group[b]) & (np.bitwise_count(fp[a] ^ fp[b]).astype(int) + np.bitwise_count(fp2[a] ^ fp2[b]) <= BOTH_RADIUS)
-                near &= (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
-                near &= (9 * np.minimum(n[a] - at[a], n[b] - at[b]) >= 4 * (n[a] + n[b]))
-                if stars:
-                    np.minimum.at(first, a[near], b[near])
-                elif near.any():
-                    yield batch(np.unique(np.stack([node[b][near], node[a][near]]), axis=1))
-            some = np.flatnonzero(first != np.arange(len(node)))
-            if len(some):
-                yield batch(np.unique(np.stack([node[first[some]], node[some]]), axis=1))
+                near = np.bitwise_count(fp[a] ^ fp[b]).astype(int) + np.bitwise_count(fp2[a] ^ fp2[b]) <= BOTH_RADIUS
+                near &= 5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])
+                near &= 9 * np.minimum(n[a] - at[a], n[b] - at[b]) >= 4 * (n[a] + n[b])
+                parent = _unite(parent, a[near], b[near])
+            moved = np.flatnonzero(parent != np.arange(len(node)))
+            links = np.unique(np.stack([node[parent[moved]], node[moved]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(links[0]), pa.array(links[1])], ["u", "v"])
         give_back()
 
     return entries.mapInArrow(run, "u bigint, v bigint").distinct()
 
 
-def _similar(pairs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
-    """The pairs whose sets have a similarity of 4/5 or more. Reads the texts of these rows again."""
+class Tile:
+    """Some sets, as the places of their hashes among the distinct ones."""
+
+    def __init__(self, at: np.ndarray, sets: list[np.ndarray]):
+        self.at, self.n = at, np.array([len(x) for x in sets])
+        self.hashes, self.place, self.count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        self.row = np.repeat(np.arange(len(sets)), self.n)
+
+    def columns(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(column, row) of the entries whose hash is the column-th of which, by column."""
+        column = np.full(len(self.hashes), -1)
+        column[which] = np.arange(len(which))
+        column = column[self.place]
+        some = np.flatnonzero(column >= 0)
+        some = some[np.argsort(column[some], kind="stable")]
+        return column[some], self.row[some]
+
+    def similar(self, other: Tile) -> tuple[np.ndarray, np.ndarray]:
+        """The places in at of pairs with a similarity of 4/5 or more, one of self and one of other."""
+        none = np.zeros(0, np.int64)
+        if 5 * min(self.n.max(), other.n.max()) < 4 * max(self.n.min(), other.n.min()):
+            return none, none
+        if self is other:
+            mine = theirs = np.flatnonzero(self.count > 1)
+        else:
+            _, mine, theirs = np.intersect1d(self.hashes, other.hashes, assume_unique=True, return_indices=True)
+        if not len(mine):
+            return none, none
+        shared = np.zeros((len(self.n), len(other.n)), np.float32)
+        (x, i), (y, j) = self.columns(mine), other.columns(theirs)
+        for first in range(0, len(mine), COLUMNS):
+            width = min(COLUMNS, len(mine) - first)
+            dense = []
+            for column, row, rows in ((x, i, len(self.n)), (y, j, len(other.n))):
+                a, b = np.searchsorted(column, [first, first + width])
+                held = np.zeros((rows, width), np.float32)
+                held[row[a:b], column[a:b] - first] = 1
+                dense.append(held)
+            shared += dense[0] @ dense[1].T
+        near = 9 * shared.astype(np.int64) >= 4 * (self.n[:, None] + other.n)
+        a, b = np.nonzero(np.triu(near, 1) if self is other else near)
+        return self.at[a], other.at[b]
+
+
+def similar_pairs(first: int, last: int, block: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Arrays of the places of pairs with a similarity of 4/5 or more: one of the block `first`, the other of `last`, which may be the same."""
+    n = np.array([len(x) for x in sets])
+    tiles: list[list[Tile]] = []
+    for b in (first, last):
+        at = np.flatnonzero(block == b)
+        at = at[np.argsort(n[at], kind="stable")]
+        if not len(at) or first == last and tiles:
+            tiles.append([])
+            continue
+        part = np.arange(len(at)) // TILE + np.cumsum(n[at]) // TILE_HASHES
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(at)]
+        tiles.append([Tile(at[i:j], [sets[k] for k in at[i:j]]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
+    for i, mine in enumerate(tiles[0]):
+        for theirs in tiles[0][i:] if first == last else tiles[1]:
+            yield mine.similar(theirs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(cluster, i, j), and _row, block and set of the texts, of each unit of sorted batches (cluster, i, j, block, _row, hs)."""
+    key, nodes, blocks, sets = None, [], [], []
+    for batch in batches:
+        keys, lists = zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j")), strict=True), batch.column("hs")
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        for k, b, node, x, y in zip(keys, batch.column("block").to_pylist(), batch.column("_row").to_pylist(), ends[:-1], ends[1:], strict=True):
+            if k != key and nodes:
+                yield key, np.array(nodes), np.array(blocks), sets
+                nodes, blocks, sets = [], [], []
+            key = k
+            nodes.append(node)
+            blocks.append(b)
+            sets.append(flat[x:y])
+    if nodes:
+        yield key, np.array(nodes), np.array(blocks), sets
+
+
+def _similar(clusters: DataFrame, rows: DataFrame, text: str, forest: bool = True) -> DataFrame:
+    """Links (u, v) that connect the texts of a cluster whose sets have a similarity of 4/5 or more; all such pairs, if not forest.
+
+    clusters: (_row, n, cluster). Reads the texts of these rows again, once. A cluster of more than BLOCK hashes is cut into blocks,
+    and each two of them are a unit of their own, so no task holds more than two blocks; a text is copied once for each block."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t).view(np.int64) for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(sets, pa.list_(pa.int64()))], ["_row", "hs"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cluster", "blocks", "block", "_row")), pa.array(sets, pa.list_(pa.int64()))], ["cluster", "blocks", "block", "_row", "hs"])
+        give_back()
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j), node, block, sets in _units(batches):
+            parent = np.arange(len(node))
+            for a, b in similar_pairs(i, j, block, sets):
+                if forest:
+                    parent = _unite(parent, a, b)
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["u", "v"])
+            moved = np.flatnonzero(parent != np.arange(len(node)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[parent[moved]]), pa.array(node[moved])], ["u", "v"])
         give_back()
 
-    some = sized(pairs.select(F.explode(F.array("u", "v")).alias("_row")).distinct(), "paired")
-    sets = materialize(rows.select("_row", text).join(some, "_row", "left_semi").mapInArrow(run, "_row bigint, hs array<bigint>"), "sets")
-    both = pairs.join(sets.select(F.col("_row").alias("u"), F.col("hs").alias("a")), "u").join(sets.select(F.col("_row").alias("v"), F.col("hs").alias("b")), "v")
-    return both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
+    blocks = clusters.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    placed = clusters.join(blocks, "cluster").select("_row", "cluster", "blocks", F.pmod(F.xxhash64("_row"), "blocks").alias("block"))
+    sets = rows.select("_row", text).join(sized(placed, "clusters"), "_row").mapInArrow(hashes, "cluster bigint, blocks bigint, block bigint, _row bigint, hs array<bigint>")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    units = sets.select("cluster", "block", "_row", "hs", other).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "_row", "hs")
+    units = units.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    return units.mapInArrow(links, "u bigint, v bigint")
 
 
 def near_copies(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -350,14 +447,8 @@ def near_copies(rows: DataFrame, text: str = "text") -> DataFrame:
     prints = materialize(_prefixes(rows, text), "prefixes")
     equal = materialize(prints.groupBy("same").agg(F.min("_row").alias("first"), F.count("*").alias("copies")), "equal-sets")
     sets = prints.join(equal.select(F.col("first").alias("_row")), "_row", "left_semi").select("_row", "n", "fp", "fp2", "prefix")
-    # first each text with the first that is like it in the shards of its STARS smallest shingles; then, in all shards, what may be
-    # similar and is not connected yet, so that the pairs of a large group are never listed
-    few = sets.withColumns({"prefix": F.slice("prefix", 1, STARS), "group": F.col("_row")})
-    links = materialize(_similar(materialize(_candidates(few, True), "candidates"), rows, text), "links")
-    groups = components(links).select(F.col("node").alias("_row"), F.col("root").alias("group"))
-    grouped = sets.join(groups, "_row", "left").withColumn("group", F.coalesce("group", "_row"))
-    more = _similar(materialize(_candidates(grouped, False), "candidates"), rows, text)
-    roots = materialize(components(links.unionByName(more)), "roots")
+    clusters = components(_candidates(sets)).select(F.col("node").alias("_row"), F.col("root").alias("cluster"))
+    roots = materialize(components(_similar(clusters.join(sets.select("_row", "n"), "_row"), rows, text)), "roots")
     placed = equal.join(roots, equal["first"] == roots.node, "left").where("copies > 1 or root is not null")
     return prints.select("_row", "doc_id", "same").join(placed.select("same", F.coalesce("root", "first").alias("component")), "same").select("_row", "doc_id", "component")
 

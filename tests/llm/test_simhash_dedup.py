@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -158,13 +159,38 @@ def test_stage_keeps_one_of_each_component_of_near_copies(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(up))
 
 
-def test_stage_finds_the_pairs_that_brute_force_finds(spark):
+def test_stage_finds_the_pairs_that_brute_force_finds(spark, monkeypatch):
     texts = near_texts()
     rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "_row bigint, doc_id bigint, text string")
-    pairs = S._candidates(S._prefixes(rows, "text").select("_row", "n", "fp", "fp2", "prefix", F.col("_row").alias("group")), False)
-    got = {(min(r.u, r.v), max(r.u, r.v)) for r in S._similar(pairs, rows, "text").collect()}
     want = brute_links(texts)
-    assert len(want) > 200 and got == want
+    assert len(want) > 200
+    sets = S._prefixes(rows, "text")
+    clusters = S.components(S._candidates(sets)).select(F.col("node").alias("_row"), F.col("root").alias("cluster")).join(sets.select("_row", "n"), "_row")
+    for block in (S.BLOCK, 500):  # as it is, and with clusters cut into blocks
+        monkeypatch.setattr(S, "BLOCK", block)
+        found = [(min(r.u, r.v), max(r.u, r.v)) for r in S._similar(clusters, rows, "text", forest=False).collect()]
+        assert len(found) == len(set(found)) and set(found) == want
+        forest = {(min(r.u, r.v), max(r.u, r.v)) for r in S._similar(clusters, rows, "text").collect()}
+        assert forest <= closure(len(texts), want) and roots_of(len(texts), forest) == roots_of(len(texts), want)
+
+
+def closure(n, links):
+    up = roots_of(n, links)
+    return {(i, j) for j in range(n) for i in range(j) if up[i] == up[j]}
+
+
+@pytest.mark.parametrize(("tile", "hashes", "columns"), [(512, 1 << 17, 1 << 12), (2, 1 << 17, 3), (7, 40, 5)])
+def test_tiles_compare_every_pair_once(monkeypatch, tile, hashes, columns):
+    for name, value in (("TILE", tile), ("TILE_HASHES", hashes), ("COLUMNS", columns)):
+        monkeypatch.setattr(S, name, value)
+    rng = np.random.default_rng(4)
+    sets = [np.sort(rng.choice(30 * (i % 2) + np.arange(30), rng.integers(1, 31), replace=False)) for i in range(60)]
+    sets += [sets[0], np.arange(1000, 1400), np.arange(1010, 1405)]
+    alike = lambda i, j: 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]))
+    for block in (np.zeros(len(sets), int), np.arange(len(sets)) % 2):
+        got = [tuple(sorted(p)) for a, b in S.similar_pairs(0, block.max(), block, sets) for p in zip(a.tolist(), b.tolist(), strict=True)]
+        want = {(i, j) for j in range(len(sets)) for i in range(j) if alike(i, j) and (not block.any() or block[i] != block[j])}
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 5
 
 
 def test_stage_with_null_and_shared_ids(spark):
@@ -194,8 +220,7 @@ def test_a_large_group_is_linked_without_its_pairs(spark):
     chain = [word() for _ in range(400)]
     texts += [" ".join(chain[6 * i : 6 * i + 100]) for i in range(40)]
     rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "_row bigint, doc_id bigint, text string")
-    sets = S._prefixes(rows, "text").select("_row", "n", "fp", "fp2", "prefix", F.col("_row").alias("group"))
-    assert S._candidates(sets, True).where("u < 300").count() < 20 * 300 < S._candidates(sets, False).where("u < 300").count()
+    assert S._candidates(S._prefixes(rows, "text")).where("u < 300").count() < 20 * 300 < 300 * 299 // 2
     got = {r.doc_id: r.component for r in S.near_copies(rows).collect()}
     assert got == {d: 0 if d < 300 else 300 for d in range(len(texts))}
     assert [got[d] for d in range(len(texts))] == brute_near(list(enumerate(texts)))
