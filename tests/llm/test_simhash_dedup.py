@@ -184,7 +184,7 @@ def test_tiles_compare_every_pair_once(monkeypatch, tile, hashes, columns):
     for name, value in (("TILE", tile), ("TILE_HASHES", hashes), ("COLUMNS", columns)):
         monkeypatch.setattr(S, name, value)
     rng = np.random.default_rng(4)
-    sets = [np.sort(rng.choice(30 * (i % 2) + np.arange(30), rng.integers(1, 31), replace=False)) for i in range(60)]
+    sets = [np.sort(rng.choice(30 * (i // 2 % 2) + np.arange(30), rng.integers(1, 31), replace=False)) for i in range(60)]
     sets += [sets[0], np.arange(1000, 1400), np.arange(1010, 1405)]
     alike = lambda i, j: 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]))
     for block in (np.zeros(len(sets), int), np.arange(len(sets)) % 2):
