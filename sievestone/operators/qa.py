@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -47,27 +46,22 @@ FUNCTION_TAGS = ("d", "p", "c", "u", "xc", "w")
 UNIT_WORDS = frozenset("km m cm mm kg g mg l ml percent years year months month days day hours hour minutes euros dollars people 年 月 日 人 个 米 公里 元".split())
 
 
-def _tagger(names: dict[str, str]):
-    """Words -> (word, tag): numbers m, units q, marks w, dictionary entries as given, else n."""
-
-    @F.pandas_udf("array<struct<word:string,tag:string>>")
-    def tag(words: pd.Series) -> pd.Series:
-        def one(w: str) -> dict[str, str]:
-            if w in names:
-                return {"word": w, "tag": names[w]}
-            if w[:1].isdigit():
-                return {"word": w, "tag": "m"}
-            if w in UNIT_WORDS:
-                return {"word": w, "tag": "q"}
-            return {"word": w, "tag": "n" if w[:1].isalnum() else "w"}
+def tag_words(words: Column, names: dict[str, str]) -> Column:
+    """Words -> (word, tag): dictionary entries as given, numbers m, units q, marks w, else n. Null has none."""
 
-        return words.map(lambda ws: [one(w) for w in ws] if ws is not None else [])
+    def tag(w: Column) -> Column:
+        known = F.lit(None).cast("string")
+        if names:
+            known = F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), w)
+        kind = F.when(w.rlike(r"^[\p{Nd}\p{No}]"), "m").when(w.isin(*sorted(UNIT_WORDS)), "q").when(w.rlike(r"^[\p{L}\p{N}]"), "n").otherwise("w")
+        return F.struct(w.alias("word"), F.coalesce(known, kind).alias("tag"))
 
-    return tag
+    return F.transform(F.coalesce(words, F.array().cast("array<string>")), tag)
 
 
-def tag_words(words: Column, names: dict[str, str]) -> Column:
-    return _tagger(names)(words)
+def content_words(words: Column, names: dict[str, str]) -> Column:
+    """How many words have no tag of FUNCTION_TAGS."""
+    return F.size(F.filter(tag_words(words, names), lambda t: ~t["tag"].isin(*FUNCTION_TAGS)))
 
 
 def cut_and_tag(text: Column, words: Iterable[str], names: dict[str, str], stop: Iterable[str] = ()) -> Column:
@@ -75,6 +69,11 @@ def cut_and_tag(text: Column, words: Iterable[str], names: dict[str, str], stop:
     return tag_words(without_stop_words(segment(text, words), stop), names)
 
 
+def rejoin_and_tag(parts: Column, words: Iterable[str], names: dict[str, str], stop: Iterable[str] = ()) -> Column:
+    """cut_and_tag() of words that were cut before: joined without a separator and cut anew."""
+    return cut_and_tag(F.array_join(parts, ""), words, names, stop)
+
+
 def basic_features(q: Column, a: Column) -> dict[str, Column]:
     """Overlap and length features of two token arrays. Ratios stay ratios."""
     # a lambda's variable holds the arrays: as plain expressions they would be made again for every word
@@ -89,17 +88,18 @@ def basic_features(q: Column, a: Column) -> dict[str, Column]:
     return {"n_answer": F.size(a), "len_diff": F.abs(F.size(q) - F.size(a)), "unigram": shared["one"], "bigram": shared["two"]}
 
 
-def all_features(rows: DataFrame, question: str, sentence: str, qv: str | None = None, av: str | None = None, max_letters: int | None = None) -> DataFrame:
-    """Adds features: an array of 11 numbers. qv, av: dense vectors of both texts, if there are any.
+def all_features(rows: DataFrame, question: str, sentence: str, qv: str | None = None, av: str | None = None, max_letters: int | None = None, names: dict[str, str] | None = None, least: int = 1) -> DataFrame:
+    """Adds features: an array of 11 numbers. qv, av: dense vectors of both texts, if there are any. names: tags of known words.
 
+    Sentences of fewer than `least` words have no row: 1 to train, 2 to select among candidates.
     max_letters bounds the letters that the quadratic comparisons of strings look at; None: all.
     """
-    rows = rows.withColumns({"_q": tokens(F.col(question)), "_a": tokens(F.col(sentence))})
+    rows = rows.withColumns({"_q": tokens(F.col(question)), "_a": tokens(F.col(sentence))}).where(F.size("_a") >= least)
     x, y = (F.coalesce(F.col(c), F.lit("")) for c in (question, sentence))
     if max_letters is not None:
         x, y = F.substring(x, 1, max_letters), F.substring(y, 1, max_letters)
     basic = basic_features(F.col("_q"), F.col("_a"))
-    content = F.size(F.filter("_a", lambda w: F.length(w) > 2))
+    content = content_words(F.col("_a"), names or {})
     zero = F.lit(0.0)
     vector = [f(F.col(qv), F.col(av)) for f in (inner_product, cosine, tanimoto)] if qv and av else [zero, zero, zero]
     values = [basic["n_answer"], content, basic["len_diff"], basic["bigram"], basic["unigram"], common_substring(x, y), common_subsequence(x, y), F.levenshtein(x, y), *vector]

@@ -14,6 +14,7 @@ from sievestone.session import table
 DICTIONARY = ("订单", "星期三", "送达", "没有", "日期", "大约", "前后", "之间")
 CHINESE_NAMES = {"订单": "nz", "星期三": "t"}
 NAMES = {"the": "nr", "of": "ns", "and": "nt", "that": "f"}
+FUNCTION_WORDS = {"the": "u", "of": "p", "and": "c", "that": "c", "this": "u", "in": "p", "on": "p", "is": "n", "not": "d"}
 
 
 def _qa(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +49,19 @@ def features_basic(spark: SparkSession, d: str) -> DataFrame:
 
 
 def features_all(spark: SparkSession, d: str) -> DataFrame:
-    return qa.all_features(_labelled(spark, d), "question", "sentence").select("qid", "sent_no", "rank", "features")
+    return qa.all_features(_labelled(spark, d), "question", "sentence", names=FUNCTION_WORDS).select("qid", "sent_no", "rank", "features")
+
+
+def features_content(spark: SparkSession, d: str) -> DataFrame:
+    """Words and content words of the sentences that a selector chooses among: those of two words and more."""
+    rows = qa.candidates(_qa(spark, d)).withColumn("a", tokens(F.col("sentence"))).where(F.size("a") > 1)
+    return rows.select("qid", "sent_no", F.size("a").alias("n_answer"), qa.content_words(F.col("a"), FUNCTION_WORDS).alias("n_content"))
+
+
+def retagged_words(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences cut into letters, then joined, cut by the dictionary and tagged."""
+    tagged = qa.rejoin_and_tag(F.split("sentence", ""), DICTIONARY, CHINESE_NAMES, ("于", "从"))
+    return _dated(spark, d).select("o_orderkey", F.posexplode(tagged).alias("pos", "t")).select("o_orderkey", "pos", "t.word", "t.tag")
 
 
 def svmlight_export(spark: SparkSession, d: str) -> DataFrame:
@@ -186,6 +199,7 @@ QUERIES = {
     "label_sentences": label_sentences,
     "features_basic": features_basic,
     "features_all": features_all,
+    "features_content": features_content,
     "svmlight_export": svmlight_export,
     "svmlight_roundtrip": svmlight_roundtrip,
     "lcs_substring": lcs_substring,
@@ -198,6 +212,7 @@ QUERIES = {
     "selector_accuracy": selector_accuracy,
     "top_sentences": top_sentences,
     "tagged_words": tagged_words,
+    "retagged_words": retagged_words,
     "span_time": span_time,
     "span_colon": span_colon,
     "span_dispatch": span_dispatch,
@@ -296,7 +311,10 @@ SELECT round(avg(CAST(rank = gold AS INTEGER)), 6) AS accuracy FROM sc JOIN g US
     "top_sentences": f"WITH {SCORED} SELECT qid, CAST(place AS INTEGER) AS place, sent_no, CAST(score AS DOUBLE) AS score FROM sc WHERE place <= 3",
     "tagged_words": f"""WITH {DATED}, w AS (SELECT o_orderkey, list_filter(regexp_extract_all(s, '{'|'.join(sorted(DICTIONARY, key=len, reverse=True))}|[0-9A-Za-z_]+|[^\\s]'), lambda x: x NOT IN ('于', '从')) AS ws FROM dated),
 e AS (SELECT o_orderkey, CAST(generate_subscripts(ws, 1) - 1 AS INTEGER) AS pos, unnest(ws) AS x FROM w) SELECT o_orderkey, pos, x AS word, {_tag_sql(CHINESE_NAMES)} AS tag FROM e""",
+    "features_content": f"""WITH {CAND}, w AS (SELECT qid, sent_no, {WORDS.format('sentence')} AS ws FROM cand)
+SELECT qid, sent_no, CAST(len(ws) AS INTEGER) AS n_answer, CAST(len(list_filter(ws, lambda x: {_tag_sql(FUNCTION_WORDS)} NOT IN ({_names(qa.FUNCTION_TAGS)}))) AS INTEGER) AS n_content FROM w WHERE len(ws) > 1""",
     "span_time": f"WITH {DATED} SELECT o_orderkey, {TIME_SQL} AS answer FROM dated",
     "span_colon": f"WITH {COLONED} SELECT o_orderkey, c AS answer FROM trimmed",
     "span_dispatch": f"WITH {DATED}, {COLONED} SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN c ELSE {TIME_SQL} END AS answer FROM dated JOIN trimmed USING (o_orderkey)",
 }
+ORACLE_SQL["retagged_words"] = ORACLE_SQL["tagged_words"]

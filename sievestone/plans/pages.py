@@ -11,6 +11,7 @@ from sievestone.operators import ingest
 from sievestone.session import table
 
 RULES = CrawlRules(title_tag="h1", follow_prefixes=("http://www.", "http://m.", "http://blog."))
+HOSTS = ("blog.tionsh.example.net", "thther.example.org", "blog.tiontion.example.com")
 EXTENSIONS = ("pdf", "doc", "html", "xls", "PDF", "txt", "docx", "png")
 
 
@@ -30,9 +31,14 @@ def link_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").where(web.is_followed(F.col("url"), RULES.hosts, RULES.follow_prefixes)).select("page_id", "url")
 
 
+def link_filter_hosts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").where(web.is_followed(F.col("url"), HOSTS)).select("page_id", "url")
+
+
 def frontier_step(spark: SparkSession, d: str) -> DataFrame:
+    """Each page links to itself and to a next page, which no one has visited."""
     pages = table(spark, d, "pages")
-    linked = pages.select("url", F.array("url").alias("links"))
+    linked = pages.select("url", F.array("url", F.concat("url", F.lit("/next"))).alias("links"))
     return ingest.frontier_step(linked, pages.where("page_id % 3 = 0"), RULES)
 
 
@@ -76,6 +82,7 @@ QUERIES = {
     "extract_pages": extract_pages,
     "page_links": page_links,
     "link_filter": link_filter,
+    "link_filter_hosts": link_filter_hosts,
     "frontier_step": frontier_step,
     "crawl_reach": crawl_reach,
     "redirects": redirects,
@@ -99,7 +106,8 @@ ORACLE_SQL = {
 CAST(len({NO_FILES.format(LINKS)}) AS INTEGER) AS n_links FROM pages""",
     "page_links": f"SELECT page_id, unnest(list_distinct({LINKS})) AS link FROM pages",
     "link_filter": f"SELECT page_id, url FROM pages WHERE {FOLLOWED}",
-    "frontier_step": f"SELECT DISTINCT url FROM pages WHERE {FOLLOWED} AND url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)",
+    "link_filter_hosts": f"SELECT page_id, url FROM pages WHERE split_part(url, '://', 1) = 'http' AND split_part(url, '/', 3) IN ({', '.join(f"'{h}'" for h in HOSTS)})",
+    "frontier_step": f"SELECT DISTINCT url FROM (SELECT unnest([url, url || '/next']) AS url FROM pages) WHERE {FOLLOWED} AND url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)",
     "crawl_reach": """WITH RECURSIVE r(i, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION ALL SELECT 2 * i + k, depth + 1 FROM r, (VALUES (1), (2)) v(k)
 WHERE depth < 4 AND i IN (SELECT page_id FROM pages)) SELECT 'http://www.example.com/' || i AS url, CAST(depth AS INTEGER) AS depth FROM r""",
     "redirects": """WITH s AS (SELECT page_id, 'p' || page_id AS url, CASE WHEN page_id % 5 = 1 THEN 302 WHEN page_id % 7 = 3 THEN 404 ELSE 200 END AS status, url AS html FROM pages)

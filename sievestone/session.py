@@ -16,13 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the cluster names none (tests, a laptop) is a temporary folder set.
+    Only where there is none and the master is a local one (tests, a laptop) is a temporary folder set.
     """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sievestone-"))
     return context.getCheckpointDir().rstrip("/")
 
