@@ -14,9 +14,12 @@ Repeated rows and equal texts share a component. Texts are read whole. A null do
 the smallest non-null one. Columns that the operator adds replace columns of the same name.
 
 RADIUS and WIDTH are the query's. The pipeline's stage links texts whose sets of STAGE_WIDTH-word shingles have a Jaccard
-similarity of 4/5 or more. Of two such sets one shingle at least is among the smallest fifth of both, so texts meet in
-the shards of these (prefix filter, exact); a shard's trees give candidates at STAGE_RADIUS bits, between fingerprints of the sets,
-and a second fingerprint leaves those at BOTH_RADIUS bits of both. Candidates are kept as forests, never as pairs; what they connect
+similarity of 4/5 or more. Of two such sets one shingle at least is among the first fifth of both, whatever the order, so texts meet in
+the shards of these (prefix filter, exact). The order is that of the hashes, with shingles that a sample shows to be common last, the
+most common at the end: a passage in very many unlike texts is then in none of their prefixes, unless a text is little else.
+A shard's trees give candidates at STAGE_RADIUS bits, between fingerprints of the sets, and a second fingerprint leaves those at
+BOTH_RADIUS bits of both; at that radius a tree is seen almost whole, so shards of more than SMALL texts are compared in tiles
+instead, without pairs that are connected already. Candidates are kept as forests, never as pairs; what they connect
 is a cluster, whose texts' sets are compared with each other, block by block, and the sets alone decide.
 """
 
@@ -42,6 +45,10 @@ RADIUS, WIDTH, SEED = 3, 3, 42
 STAGE_RADIUS, BOTH_RADIUS, STAGE_WIDTH = 24, 40, 5
 #: Bytes of a text that are read at once, hashes summed up at once, and links looked at together.
 PIECE, HASHES, FRONTIER = 1 << 20, 1 << 15, 1 << 18
+#: Texts that are sampled for common shingles, about; texts of the sample that a common one is in, at least; common ones, at most. The
+#: result doesn't depend on these. Texts of a shard that has trees, at most; texts of a side of a larger one's tiles, and those tried first.
+SAMPLE, COMMON, MOST = 1 << 14, 3, 1 << 16
+SMALL, SIDE, PIVOTS = 128, 1 << 10, 32
 #: Hashes of a block of a cluster; texts, hashes and columns that are compared at once.
 BLOCK, TILE, TILE_HASHES, COLUMNS = 1 << 20, 512, 1 << 17, 1 << 12
 SPACE = re.compile(rb"[\t-\r ]")
@@ -278,8 +285,48 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _prefixes(rows: DataFrame, text: str) -> DataFrame:
-    """(_row, doc_id, same, n, fp, fp2, prefix): equal sets have equal `same`; n: shingles; prefix: the smallest of them, as longs."""
+def _common(rows: DataFrame, text: str) -> np.ndarray:
+    """The hashes of shingles that are in COMMON or more texts of a sample, rarest first."""
+    n = rows.count()
+    every = max(1, min(8, n >> 12), n // SAMPLE)  # every other text from 8,192 on, one of eight from 32,768 on
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))], ["h"])
+        give_back()
+
+    arrow_batches(rows.sparkSession)
+    sample = rows.where(F.pmod(F.xxhash64("_row"), F.lit(every)) == 0).select(text).mapInArrow(run, "h bigint")
+    often = sample.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(MOST).toArrow()
+    return often.column("h").to_numpy()[::-1].astype(np.int64).view(np.uint64)
+
+
+class Order:
+    """Hashes in the order that prefixes are taken in: as they are, then the common ones in theirs."""
+
+    def __init__(self, common: np.ndarray | None):
+        common = np.zeros(0, np.uint64) if common is None else common
+        self.place = np.argsort(common)
+        self.common = common[self.place]
+
+    def first(self, hashes: np.ndarray, n: int) -> np.ndarray:
+        """The first n of sorted hashes. Mostly some of them are enough to see n that aren't common."""
+        if not len(self.common):
+            return hashes[:n]
+        for some in (hashes[: 2 * n], hashes):
+            at = np.minimum(np.searchsorted(self.common, some), len(self.common) - 1)
+            often = self.common[at] == some
+            rest = some[~often]
+            if len(rest) >= n:
+                return rest[:n]
+        last = hashes[often]
+        return np.concatenate([rest, last[np.argsort(self.place[at[often]])]])[:n]
+
+
+def _prefixes(rows: DataFrame, text: str, common: np.ndarray | None = None) -> DataFrame:
+    """(_row, doc_id, same, n, fp, fp2, prefix): equal sets have equal `same`; n: shingles; prefix: the first of them, as longs."""
+    order = Order(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,7 +339,7 @@ def _prefixes(rows: DataFrame, text: str) -> DataFrame:
                 fps.append(set_fingerprint(hashes))
                 others.append(second_fingerprint(hashes))
                 # a partner shares (4n + 4) // 5 of them or more, and so one of these
-                prefix.append(hashes[: n - (4 * n + 4) // 5 + 1].view(np.int64) if n else np.zeros(0, np.int64))
+                prefix.append(order.first(hashes, n - (4 * n + 4) // 5 + 1).view(np.int64) if n else np.zeros(0, np.int64))
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (same, sizes, fps, others)]
             yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), *longs, pa.array(prefix, pa.list_(pa.int64()))], ["_row", "doc_id", "same", "n", "fp", "fp2", "prefix"])
         give_back()
@@ -302,6 +349,78 @@ def _prefixes(rows: DataFrame, text: str) -> DataFrame:
     return rows.select("_row", "doc_id", text).mapInArrow(run, f"_row bigint, doc_id {kind}, same bigint, n bigint, fp bigint, fp2 bigint, prefix array<bigint>")
 
 
+class Shards:
+    """Texts of shards, next to each other: node (in order within a shard), sizes of sets, places of the shingle in them, both fingerprints."""
+
+    def __init__(self, shard: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray, fp: np.ndarray, fp2: np.ndarray):
+        self.shard, self.node, self.n, self.at, self.fp, self.fp2 = shard, node, n, at, fp, fp2
+
+    def take(self, which: np.ndarray | slice) -> Shards:
+        return Shards(*(x[which] for x in (self.shard, self.node, self.n, self.at, self.fp, self.fp2)))
+
+    def fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Sizes within 4/5; at the first shingle that both have, what is left of either reaches what they must share."""
+        n, left = self.n, self.n - self.at
+        return (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])) & (9 * np.minimum(left[a], left[b]) >= 4 * (n[a] + n[b]))
+
+    def by_trees(self) -> np.ndarray:
+        """The parent of each text in a forest of its shard that connects all candidates."""
+        parent = np.arange(len(self.node))
+        for a, b in Forest(self.shard, self.fp).neighbours(STAGE_RADIUS):
+            near = np.bitwise_count(self.fp[a] ^ self.fp[b]).astype(int) + np.bitwise_count(self.fp2[a] ^ self.fp2[b]) <= BOTH_RADIUS
+            near &= self.fit(a, b)
+            parent = _unite(parent, a[near], b[near])
+        return parent
+
+    def _meet(self, parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """parent with the candidates of a and b taken in."""
+        if not len(a) or not len(b):
+            return parent
+        d = np.bitwise_count(self.fp[a][:, None] ^ self.fp[b])
+        near = d <= STAGE_RADIUS
+        d += np.bitwise_count(self.fp2[a][:, None] ^ self.fp2[b])
+        near &= d <= BOTH_RADIUS
+        i, j = np.nonzero(near)
+        a, b = a[i], b[j]
+        fit = self.fit(a, b)
+        return _unite(parent, a[fit], b[fit])
+
+    def by_tiles(self) -> np.ndarray:
+        """by_trees() of one shard. Texts of like sizes are compared tile by tile, without what is connected before a tile begins."""
+        parent = np.arange(len(self.node))
+        order = np.argsort(self.n, kind="stable")
+        sides = [order[i : i + SIDE] for i in range(0, len(order), SIDE)]
+        pivots = order[:: max(1, len(order) // PIVOTS)]
+        for side in sides:
+            parent = self._meet(parent, pivots, side)
+        for i, a in enumerate(sides):
+            for b in sides[i:]:
+                if 5 * self.n[a[-1]] < 4 * self.n[b[0]]:
+                    break
+                parent = _roots(parent)
+                roots, count = np.unique(np.concatenate([parent[a], parent[b]]), return_counts=True)
+                most = roots[np.argmax(count)]
+                inner = parent[a] == most
+                outer = b[parent[b] != most]
+                parent = self._meet(parent, a[~inner], b)
+                if b is not a:
+                    parent = self._meet(parent, a[inner], outer)
+        return parent
+
+    def links(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Links (node, node) of a forest of each shard."""
+        starts = np.flatnonzero(np.concatenate([[True], self.shard[1:] != self.shard[:-1]])) if len(self.shard) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(starts, len(self.shard)))
+        small = self.take(np.repeat(sizes <= SMALL, sizes))
+        parts = [(small, small.by_trees())]
+        for k in np.flatnonzero(sizes > SMALL):
+            large = self.take(slice(starts[k], starts[k] + sizes[k]))
+            parts.append((large, large.by_tiles()))
+        for part, parent in parts:
+            moved = np.flatnonzero(parent != np.arange(len(parent)))
+            yield part.node[parent[moved]], part.node[moved]
+
+
 def _candidates(sets: DataFrame) -> DataFrame:
     """Links (u, v) that connect all that may be similar: a forest of each shard. sets: (_row, n, fp, fp2, prefix)."""
     entries = sets.select("_row", "n", "fp", "fp2", F.posexplode_outer("prefix").alias("at", "key")).where("key is not null")
@@ -313,16 +432,8 @@ def _candidates(sets: DataFrame) -> DataFrame:
             new = np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]) if rows.shape[1] else np.zeros(0, bool)
             alone = new & np.concatenate([new[1:], [True]]) if len(new) else new
             shard, (_, node, size, fp, fp2) = np.cumsum(new)[~alone], rows[:, ~alone]
-            n, at, fp, fp2 = size >> 32, size & 0xFFFFFFFF, fp.view(np.uint64), fp2.view(np.uint64)
-            parent = np.arange(len(node))
-            for a, b in Forest(shard, fp).neighbours(STAGE_RADIUS):
-                # sizes within 4/5; at the first shingle that both have, what is left of either reaches what they must share
-                near = np.bitwise_count(fp[a] ^ fp[b]).astype(int) + np.bitwise_count(fp2[a] ^ fp2[b]) <= BOTH_RADIUS
-                near &= 5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])
-                near &= 9 * np.minimum(n[a] - at[a], n[b] - at[b]) >= 4 * (n[a] + n[b])
-                parent = _unite(parent, a[near], b[near])
-            moved = np.flatnonzero(parent != np.arange(len(node)))
-            links = np.unique(np.stack([node[parent[moved]], node[moved]]), axis=1)
+            found = Shards(shard, node, size >> 32, size & 0xFFFFFFFF, fp.view(np.uint64), fp2.view(np.uint64)).links()
+            links = np.unique(np.concatenate([np.stack(x) for x in found], axis=1), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(links[0]), pa.array(links[1])], ["u", "v"])
         give_back()
 
@@ -444,7 +555,7 @@ def _similar(clusters: DataFrame, rows: DataFrame, text: str, forest: bool = Tru
 
 def near_copies(rows: DataFrame, text: str = "text") -> DataFrame:
     """(_row, doc_id, component) of every row that has copies or near copies. rows: (_row, doc_id, text), written down."""
-    prints = materialize(_prefixes(rows, text), "prefixes")
+    prints = materialize(_prefixes(rows, text, _common(rows, text)), "prefixes")
     equal = materialize(prints.groupBy("same").agg(F.min("_row").alias("first"), F.count("*").alias("copies")), "equal-sets")
     sets = prints.join(equal.select(F.col("first").alias("_row")), "_row", "left_semi").select("_row", "n", "fp", "fp2", "prefix")
     clusters = components(_candidates(sets)).select(F.col("node").alias("_row"), F.col("root").alias("cluster"))

@@ -234,3 +234,53 @@ def test_long_texts_in_pieces():
         want = [xxhash.xxh64_digest(b" ".join(words[i : i + width]), S.SEED) for i in range(len(words) - width + 1)]
         assert got.tobytes() == b"".join(want)
     assert len(np.concatenate(list(S.shingle_digests("a b", 3)))) == 1 and not list(S.shingle_digests(" \n", 3))
+
+
+def test_a_passage_of_many_unlike_texts_is_no_shard(spark):
+    """Texts that share a passage alone don't meet; near copies are found as ever, even if they share little but the passage."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    passage = [word() for _ in range(30)]
+    own = [[word() for _ in range(rnd.randrange(60, 90))] for _ in range(600)]
+    texts = [" ".join(w[:20] + passage + w[20:]) for w in own]
+    texts += [" ".join([*passage, *(word() for _ in range(k % 4))]) for k in range(60)]
+    texts += [" ".join(w[:20] + passage + w[20:-2]) for w in own[:40]]
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "_row bigint, doc_id bigint, text string")
+    largest = lambda sets: sets.select(F.explode("prefix").alias("key")).groupBy("key").count().agg(F.max("count")).first()[0]
+    assert largest(S._prefixes(rows, "text")) >= 600
+    assert largest(S._prefixes(rows, "text", S._common(rows, "text"))) <= 60
+    got = {r.doc_id: r.component for r in S.near_copies(rows).collect()}
+    assert [got.get(d, d) for d in range(len(texts))] == brute_near(list(enumerate(texts)))
+
+
+def test_order_of_prefixes_puts_common_shingles_last():
+    common = np.array([50, 7, 30], np.uint64)  # rarest first
+    hashes = np.array([7, 10, 30, 40, 50, 60], np.uint64)
+    assert S.Order(common).first(hashes, 5).tolist() == [10, 40, 60, 50, 7]
+    assert S.Order(None).first(hashes, 2).tolist() == [7, 10]
+
+
+@pytest.mark.parametrize("side", [1 << 10, 7])
+def test_tiles_connect_what_trees_connect(monkeypatch, side):
+    monkeypatch.setattr(S, "SIDE", side)
+    rng = np.random.default_rng(6)
+    few = lambda k: np.bitwise_and.reduce(rng.integers(0, 2**64, (3, k), dtype=np.uint64))
+    base, size = rng.integers(0, 2**64, (2, 30), dtype=np.uint64), rng.integers(20, 400, 30)
+    of = rng.integers(30, size=500)
+    n = size[of] + rng.integers(0, 60, 500)
+    shards = S.Shards(np.zeros(500, int), np.arange(500), n, rng.integers(0, 1 + n // 5), base[0][of] ^ few(500), base[1][of] ^ few(500))
+    trees, tiles = S._roots(shards.by_trees()), S._roots(shards.by_tiles())
+    assert (trees == tiles).all() and 30 < len(set(trees.tolist())) < 450
+    got = np.concatenate([np.stack(x) for x in shards.links()], axis=1)
+    assert (S._roots(S._unite(np.arange(500), *got)) == trees).all()
+
+
+def test_a_large_group_of_alike_texts_is_not_compared_pair_by_pair(monkeypatch):
+    compared = []
+    meet = S.Shards._meet
+    monkeypatch.setattr(S.Shards, "_meet", lambda self, parent, a, b: compared.append(len(a) * len(b)) or meet(self, parent, a, b))
+    k = 20_000
+    rng = np.random.default_rng(5)
+    fp = np.uint64(12345) ^ (np.uint64(1) << rng.integers(0, 64, k).astype(np.uint64))
+    links = list(S.Shards(np.zeros(k, int), np.arange(k), np.full(k, 100), np.zeros(k, int), fp, fp).links())
+    assert sum(len(a) for a, _ in links) == k - 1 and sum(compared) < 100 * k
