@@ -100,9 +100,9 @@ def pieces(docs: DataFrame, keep: list[str], text: str = "text", source: str = "
                     crc.append(zlib.crc32(ids[4 * at : 4 * (at + size)]))
                     total.append(n)
                     at += size
-            some = batch.take(pa.array(rows, pa.int64())) if rows else batch.slice(0, 0)
-            columns = [*(some.column(c) for c in keep), some.column("row_key"), some.column("queue"), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, *own])
+            # without the text: a copy for each of its pieces would grow with the square of its length
+            some = batch.select([*keep, "row_key", "queue"]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*some.columns, *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], [*keep, *own])
         give_back()
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -76,3 +77,22 @@ def test_weights_and_empty(spark):
     early = rows[rows.sequence_id < 8]
     assert early[early.source == "s0"].length.sum() > 2 * early[early.source == "s1"].length.sum()
     assert P.pack(df.limit(0), ["doc_id", "source"]).count() == 0
+
+
+def test_a_long_text_is_not_copied_for_each_piece(spark, monkeypatch):
+    # what a worker runs, on 400 pieces of a text of 200,000 letters
+    df = spark.createDataFrame([], "doc_id bigint, source string, text string")
+    found = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: found.append(run))
+    P.pieces(df, ["doc_id", "source"])
+    text = "a " * 102_400
+    batch = pa.record_batch({"doc_id": [1, 2], "source": ["s", "s"], "row_key": [5, 6], "queue": ["=s", "=s"], "_text": [text, None]})
+    before = pa.total_allocated_bytes()
+    out = found[0](iter([batch]))
+    got = [next(out)]  # its own rows are still held
+    assert pa.total_allocated_bytes() - before < len(text)
+    rows = pa.Table.from_batches([*got, *out]).to_pandas()
+    ids = np.frombuffer(P.encoder()(text), "<u4").tolist() + [P.END]
+    one, two = rows[rows.doc_id == 1], rows[rows.doc_id == 2]
+    assert one.length.tolist() == P.cut(len(ids)) and len(one) >= 400 and two.length.tolist() == [1]
+    assert all(zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 for r in one.itertuples())
