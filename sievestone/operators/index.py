@@ -18,6 +18,20 @@ def token_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", low
     return docs.select(doc_id, F.posexplode_outer(tokens(F.col(text), lowercase)).alias("pos", "word")).where("word is not null")
 
 
+def by_document(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """Each document's rows in one task: what is grouped by document and word, or query and document, then moves no more.
+
+    A text is several times smaller than its rows of words. The number is stated, as tasks coalesced by the bytes of texts would be too
+    large for those rows.
+    """
+    return docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), doc_id)
+
+
+def only_words(table: DataFrame, words: DataFrame) -> DataFrame:
+    """Rows of a table with words that are among those of stated queries; the optimizer filters before it counts."""
+    return table.join(F.broadcast(words.select("word").distinct()), "word", "left_semi")
+
+
 def term_frequency(words: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     return words.groupBy(doc_id, "word").agg(F.count("*").alias("tf"))
 
@@ -63,14 +77,14 @@ VSM_MEASURES: dict[str, Callable] = {
 
 
 def vsm_scores(weights: DataFrame, query_weights: DataFrame, query_id: str, measure: str = "dot") -> DataFrame:
-    """(query, doc_id, score) of documents that share a word; norms are restricted to the query's words."""
+    """(query, doc_id, score) of documents that share a word; norms are restricted to the query's words. Queries are a stated set."""
     q2 = query_weights.groupBy(query_id).agg(F.sum(F.col("weight") * F.col("weight")).alias("q2"))
     q = query_weights.withColumnRenamed("weight", "wq").where("wq <> 0")
-    sums = weights.join(q, "word").groupBy(query_id, "doc_id").agg(
+    sums = weights.join(F.broadcast(q), "word").groupBy(query_id, "doc_id").agg(
         F.sum(F.col("weight") * F.col("wq")).alias("dot"), F.sum(F.col("weight") * F.col("weight")).alias("d2")
     )
     score = VSM_MEASURES[measure](F.col("dot"), F.col("d2"), F.col("q2"))
-    return sums.join(q2, query_id).select(query_id, "doc_id", F.round(score, 6).alias("score"))
+    return sums.join(F.broadcast(q2), query_id).select(query_id, "doc_id", F.round(score, 6).alias("score"))
 
 
 def argmax(scores: DataFrame, queries: DataFrame, query_id: str, missing: int = -1) -> DataFrame:
@@ -137,15 +151,15 @@ def bm25_fit(docs: DataFrame, params: BM25Params = BM25Params(), doc_id: str = "
 
 
 def bm25_scores(index: BM25Index, queries: DataFrame, query_id: str = "query_id", text: str = "text") -> DataFrame:
-    """(query, doc_id, score) of documents that share a word with the query."""
+    """(query, doc_id, score) of documents that share a word with the query. Queries are a stated set."""
     p = index.params
     q = token_table(queries, query_id, text).groupBy(query_id, "word").agg(F.count("*").alias("qtf"))
-    q = q.join(index.idf, "word")
+    asked = only_words(index.idf, q).join(F.broadcast(q), "word")
     tf, n = F.col("tf"), F.col("doc_len")
     part = (
         F.col("idf") * (p.k1 + 1) * tf / (p.k1 * (1 - p.b + p.b * n / F.col("avg_len")) + tf) * (p.k3 + 1) * F.col("qtf") / (p.k3 + F.col("qtf"))
     )
-    hits = index.postings.join(q, "word").join(index.doc_len, "doc_id")
+    hits = only_words(index.postings, q).join(index.doc_len.hint("shuffle_hash"), "doc_id").join(F.broadcast(asked), "word")
     return _with_stats(hits, index.stats).groupBy(query_id, "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 

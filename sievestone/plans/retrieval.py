@@ -25,6 +25,10 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return ix.by_document(_docs(spark, d).select("doc_id", "text"))
+
+
 def _items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -43,7 +47,7 @@ def bigram_sets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def term_freq(spark: SparkSession, d: str) -> DataFrame:
-    return ix.term_frequency(ix.token_table(_docs(spark, d)))
+    return ix.term_frequency(ix.token_table(_texts(spark, d)))
 
 
 def doc_freq(spark: SparkSession, d: str) -> DataFrame:
@@ -68,8 +72,10 @@ def sk_tfidf(spark: SparkSession, d: str) -> DataFrame:
 
 def _vsm(measure: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        tf, items = term_freq(spark, d), _items(spark, d)
-        idf = ix.vsm_idf(tf, ix.corpus_stats(_docs(spark, d)))
+        items = _items(spark, d)
+        qtf = ix.token_table(items, "query_id").groupBy("query_id", "word").agg(F.count("*").alias("tf"))
+        tf = ix.only_words(term_freq(spark, d), qtf)
+        idf = F.broadcast(ix.vsm_idf(tf, ix.corpus_stats(_docs(spark, d))))
         qtf = ix.token_table(items, "query_id").groupBy("query_id", "word").agg(F.count("*").alias("tf"))
         scores = ix.vsm_scores(ix.vsm_weights(tf, idf), ix.vsm_query_weights(qtf, idf, "query_id"), "query_id", measure)
         return ix.argmax(scores, items, "query_id")
@@ -97,7 +103,7 @@ def bm25_doc_len(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return ix.top_k(ix.bm25_scores(ix.bm25_fit(_docs(spark, d)), _items(spark, d)), 10)
+    return ix.top_k(ix.bm25_scores(ix.bm25_fit(_texts(spark, d)), _items(spark, d)), 10)
 
 
 def bm25_all_docs(spark: SparkSession, d: str) -> DataFrame:
