@@ -179,19 +179,19 @@ def containing(docs: DataFrame, items: DataFrame, query_id: str = "query_id", do
     """(query, doc) where the document's text holds the item's text, letter for letter.
 
     An item's words but the first and the last are whole words of such a document; its rarest one finds the candidates by
-    an equi-join, and they are verified. Items without a word inside are held against all documents: a stated query set.
+    an equi-join, and they are verified in their place. Items without a word inside are held against all documents: a stated query set.
     """
     ws = tokens(F.col("_item"))
     stated = items.select(query_id, F.col(text).alias("_item")).where("_item is not null").withColumn("_inner", F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 2, F.lit(0))))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
-    postings = rows.select("doc_id", F.explode_outer(F.array_distinct(tokens(F.col("_text")))).alias("word")).where("word is not null")
     inner = stated.select(query_id, F.explode(F.array_distinct("_inner")).alias("word"))
-    found = postings.join(inner.select("word").distinct(), "word")
-    df = found.groupBy("word").agg(F.count("*").alias("df"))
+    words = F.explode_outer(F.array_distinct(tokens(F.col("_text")))).alias("word")
+    df = only_words(rows.select(words), inner).groupBy("word").agg(F.count("*").alias("df"))
     rarest = inner.join(df, "word", "left").groupBy(query_id).agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("r")).select(query_id, "r.word")
-    candidates = found.join(rarest, "word").select(query_id, "doc_id")
-    long = candidates.join(stated, query_id).join(rows, "doc_id").where(F.contains("_text", "_item"))
-    short = stated.where(F.size("_inner") == 0).select(query_id, "_item").crossJoin(rows).where(F.contains("_text", "_item"))
+    # the texts are cut once more rather than moved
+    asked = rarest.join(F.broadcast(stated.select(query_id, "_item")), query_id)
+    long = rows.select("doc_id", "_text", words).join(F.broadcast(asked), "word").where(F.contains("_text", "_item"))
+    short = rows.crossJoin(F.broadcast(stated.where(F.size("_inner") == 0).select(query_id, "_item"))).where(F.contains("_text", "_item"))
     return long.select(query_id, "doc_id").unionByName(short.select(query_id, "doc_id"))
 
 

@@ -86,10 +86,10 @@ def _vsm(measure: str):
 def retrieval_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """Share of items whose best document is one of those that hold the item's text; items that no document holds don't count."""
     docs, items = _docs(spark, d), _items(spark, d)
-    gold = ix.containing(docs, items).withColumn("gold", F.lit(True))
-    asked = gold.select("query_id").distinct()
-    best = _vsm("dot")(spark, d).join(asked, "query_id")
-    rows = best.join(gold, ["query_id", "doc_id"], "left").select(F.coalesce("gold", F.lit(False)).alias("hit"), F.lit(True).alias("gold"))
+    gold = ix.containing(docs, items)
+    best = _vsm("dot")(spark, d).select("query_id", F.col("doc_id").alias("best"))
+    asked = gold.join(F.broadcast(best), "query_id").groupBy("query_id").agg(F.max(F.col("doc_id") == F.col("best")).alias("hit"))
+    rows = asked.select("hit", F.lit(True).alias("gold"))
     return rows.agg(F.count("*").alias("n")).join(F.broadcast(accuracy(rows, "hit", "gold"))).select("n", F.round("accuracy", 6).alias("accuracy"))
 
 
