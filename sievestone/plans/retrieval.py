@@ -191,7 +191,7 @@ def qa_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Retrieval, candidate sentences, ranking and the answer's span, for every benchmark text as a question."""
     items = _items(spark, d)
     best = _vsm("cos")(spark, d).where("doc_id >= 0").select("query_id", "doc_id")
-    passages = best.join(items.withColumnRenamed("text", "question"), "query_id").join(_docs(spark, d).select("doc_id", F.col("text").alias("passage")), "doc_id")
+    passages = F.broadcast(best).join(items.withColumnRenamed("text", "question"), "query_id").join(_docs(spark, d).select("doc_id", F.col("text").alias("passage")), "doc_id")
     rows = passages.select(F.col("query_id").alias("qid"), "doc_id", "question", F.posexplode(sentences(F.col("passage"))).alias("sent_no", "sentence"))
     share = qa.basic_features(tokens(F.col("question")), tokens(F.col("sentence")))["unigram"]
     top = qa.top_sentences(rows.withColumn("score", F.round(share, 6)), 1)
