@@ -165,8 +165,14 @@ def bm25_scores(index: BM25Index, queries: DataFrame, query_id: str = "query_id"
 
 def with_zero_scores(scores: DataFrame, queries: DataFrame, docs: DataFrame, query_id: str = "query_id") -> DataFrame:
     """Every document for every query, 0 where nothing matched: the stated queries against all rows."""
-    every = docs.select("doc_id").crossJoin(queries.select(query_id))
-    return every.join(scores, [query_id, "doc_id"], "left").select(query_id, "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    found = scores.select("doc_id", F.struct(query_id, "score").alias("s")).groupBy("doc_id").agg(F.collect_list("s").alias("found"))
+    asked = queries.select(query_id)
+    every = docs.select("doc_id").join(found, "doc_id", "left").withColumn("found", F.coalesce("found", F.array().cast(found.schema["found"].dataType)))
+    # one row of all queries: a document's rows are made in its place, as a join by query and document would move them all
+    every = every.join(F.broadcast(asked.agg(F.collect_set(query_id).alias("all"))))
+    zeros = F.transform(F.array_except("all", F.transform("found", lambda s: s[query_id])), lambda q: F.struct(q.alias(query_id), F.lit(0.0).alias("score")))
+    rows = every.select("doc_id", F.explode(F.concat("found", zeros)).alias("s")).select(f"s.{query_id}", "doc_id", "s.score")
+    return rows.join(F.broadcast(asked), query_id)
 
 
 def top_k(scores: DataFrame, k: int, query_id: str = "query_id", doc_id: str = "doc_id") -> DataFrame:

@@ -108,7 +108,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def bm25_all_docs(spark: SparkSession, d: str) -> DataFrame:
     docs, items = _docs(spark, d), _items(spark, d)
-    return ix.with_zero_scores(ix.bm25_scores(ix.bm25_fit(docs), items), items, docs)
+    return ix.with_zero_scores(ix.bm25_scores(ix.bm25_fit(_texts(spark, d)), items), items, docs)
 
 
 def _articles(spark: SparkSession, d: str) -> DataFrame:
