@@ -125,8 +125,8 @@ class BM25Index:
     def save(self, path: str) -> None:
         for name in self.TABLES:
             table = getattr(self, name)
-            # a query touches few words: files sorted by word let the reader skip row groups; ranges split a frequent word
-            (table.repartitionByRange("word", "doc_id").sortWithinPartitions("word", "doc_id") if name == "postings" else table).write.mode("overwrite").parquet(f"{path}/{name}")
+            # sorted where they are made: equal words lie together in a file, and no posting moves for it
+            (table.sortWithinPartitions("word", "doc_id") if name == "postings" else table).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, params: BM25Params = BM25Params()) -> BM25Index:

@@ -117,7 +117,8 @@ def _articles(spark: SparkSession, d: str) -> DataFrame:
     url = F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("http://news.example.com/"), F.col("doc_id").cast("string"))).otherwise(dated)
     title = F.concat_ws(" ", "lang", "source")
     names = F.array(F.concat(F.lit("report "), F.col("source"), F.lit(".pdf")), F.concat(F.col("lang"), F.lit(" notes.doc")))
-    rows = _docs(spark, d).select("doc_id", url.alias("url"), title.alias("title"), names.alias("file_name"), F.col("text").alias("paragraphs"))
+    docs = ix.by_document(_docs(spark, d).select("doc_id", "lang", "source", "text"))
+    rows = docs.select("doc_id", url.alias("url"), title.alias("title"), names.alias("file_name"), F.col("text").alias("paragraphs"))
     return ingest.segment_articles(rows)
 
 
