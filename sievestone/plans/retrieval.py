@@ -171,7 +171,7 @@ def result_cards(spark: SparkSession, d: str) -> DataFrame:
 def index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """The index is saved, loaded and asked."""
     path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
-    return ix.top_k(ix.bm25_scores(ix.load_or_fit(spark, path, lambda: _docs(spark, d)), _items(spark, d)), 10)
+    return ix.top_k(ix.bm25_scores(ix.load_or_fit(spark, path, lambda: _texts(spark, d)), _items(spark, d)), 10)
 
 
 def json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
