@@ -101,10 +101,12 @@ def argmax(scores: DataFrame, queries: DataFrame, query_id: str, missing: int =
 
 def smooth_tfidf(tf: DataFrame, stats: DataFrame) -> DataFrame:
     """(doc_id, word, weight): tf * (ln((1 + N) / (1 + df)) + 1), rows scaled to length 1."""
-    idf = _with_stats(document_frequency(tf), stats).select("word", (F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(idf, "word").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, "doc_id").select("doc_id", "word", (F.col("w") / F.col("norm")).alias("weight"))
+    # by document again as counts, which take a fraction of a weight's bytes; a window, as rows and norms would else be moved one by one
+    counts = by_document(tf.join(document_frequency(tf).hint("shuffle_hash"), "word").select("doc_id", "word", "tf", "df"))
+    idf = F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1
+    raw = _with_stats(counts, stats).select("doc_id", "word", (F.col("tf") * idf).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
+    return raw.select("doc_id", "word", (F.col("w") / norm).alias("weight"))
 
 
 # --- BM25 ------------------------------------------------------------------------------------------------------------------
