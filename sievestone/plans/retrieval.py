@@ -61,7 +61,7 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def vsm_weights(spark: SparkSession, d: str) -> DataFrame:
     tf = term_freq(spark, d)
-    w = ix.vsm_weights(tf, ix.vsm_idf(tf, ix.corpus_stats(_docs(spark, d))))
+    w = ix.vsm_weights(tf, ix.vsm_idf(tf, ix.corpus_stats(_docs(spark, d))).hint("shuffle_hash"))
     return w.select("doc_id", "word", F.round("weight", 6).alias("weight"))
 
 
@@ -94,7 +94,7 @@ def retrieval_accuracy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_fit(spark: SparkSession, d: str) -> DataFrame:
-    return ix.bm25_fit(_docs(spark, d)).idf.select("word", F.round("idf", 6).alias("idf"))
+    return ix.bm25_fit(_texts(spark, d)).idf.select("word", F.round("idf", 6).alias("idf"))
 
 
 def bm25_doc_len(spark: SparkSession, d: str) -> DataFrame:
