@@ -76,7 +76,6 @@ def _vsm(measure: str):
         qtf = ix.token_table(items, "query_id").groupBy("query_id", "word").agg(F.count("*").alias("tf"))
         tf = ix.only_words(term_freq(spark, d), qtf)
         idf = F.broadcast(ix.vsm_idf(tf, ix.corpus_stats(_docs(spark, d))))
-        qtf = ix.token_table(items, "query_id").groupBy("query_id", "word").agg(F.count("*").alias("tf"))
         scores = ix.vsm_scores(ix.vsm_weights(tf, idf), ix.vsm_query_weights(qtf, idf, "query_id"), "query_id", measure)
         return ix.argmax(scores, items, "query_id")
 
